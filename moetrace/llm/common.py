@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def settle(df: DataFrame) -> DataFrame:
     lineage, so a lost executor costs a reread. The files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/moetrace-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -44,6 +45,22 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+class Shared:
+    """A broadcast of an object of this package, pickled with its classes so that executors need no copy of them."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self._held, self._value = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self) -> dict:
+        return {"_held": self._held, "_value": None}
+
+    @property
+    def value(self) -> object:
+        if self._value is None:
+            self._value = cloudpickle.loads(self._held.value)
+        return self._value
+
+
 def blocks(spark: SparkSession, least: int = 8) -> int:
     """How many blocks a group is cut into where its rows are numbered: as many as there are shuffle partitions."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
