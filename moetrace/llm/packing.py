@@ -13,6 +13,7 @@ doc_id are packed each on their own; an empty table gives no pieces."""
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -62,7 +63,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache = _Pieces(tokenizer)
+        # Kept by the Python worker from task to task.
+        kept = sys.__dict__.setdefault("_moetrace_pieces", {})
+        if tokenizer not in kept:
+            kept[tokenizer] = _Pieces(tokenizer)
+        cache = kept[tokenizer]
         for x in batches:
             out = []
             for doc_id, ids in zip(x["doc_id"], cache.ids([t or "" for t in x["text"]]), strict=True):
