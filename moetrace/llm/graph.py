@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import release, settle
 
 #: Rounds double the reach of a label, so this bounds paths longer than any table has rows.
 MOST_ROUNDS = 60
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = settle(small.union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        before, edges = edges, settle(small.union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        release(before)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(38,0)))")).first()
         if now == digest:
             break
@@ -37,37 +38,48 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], info: DataFrame, near: str) -> DataFrame:
     """(node, component) over the verified links among members (key, id) that share a key.
 
     First each bucket's smallest id is compared with the others of its bucket: as many pairs as members, whatever the
     bucket's size. Buckets whose members then lie in one component are done: no further link could change anything.
     In the others, members of different components are compared at growing distances in the bucket's order (2 to 8,
     to 64, ...) until every such pair has been compared or joined otherwise; so no bucket is capped and no link between
-    components is lost. verify takes pairs (a, b), a < b, and returns those that are links."""
+    components is lost. Before a pair is made there, near has to hold for it: SQL over the columns of info (id, ...),
+    prefixed x_ and y_, that holds for every link. verify takes pairs (a, b), a < b, and returns those that are links."""
     members = settle(members.select("key", "id").distinct())
     groups = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     star = members.join(groups, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = settle(verify(star))
-    found = settle(components(links))
+    found = settle(components(verify(star)))
+    columns = [c for c in info.columns if c != "id"]
     low, high = 1, 8
     while True:
         at = members.join(groups.where(f"n > {low + 1}"), "key")
         at = at.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.first("n").alias("n")).where("c0 <> c1").select("key", "n")
+        open_ = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("many")).where("c0 <> c1").select("key", "many")
         open_ = settle(open_)
-        most = open_.agg(F.max("n")).first()[0]
+        most = open_.agg(F.max("many")).first()[0]
         if most is None:
             return found
-        rows = at.drop("n").join(open_, "key").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id")))
-        rows = settle(rows.select("key", "id", "component", "r", "n"))
-        reach = rows.where(f"r > 1 and n - r >= {low}").withColumn("s", F.explode(F.expr(f"sequence(r + {low}, least(r + {high}, n))")))
-        other = rows.select("key", F.col("r").alias("s"), F.col("id").alias("b"), F.col("component").alias("other"))
-        pairs = reach.join(other, ["key", "s"]).where("component <> other").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        more = settle(verify(pairs))
+        rows = at.select("key", "id", "component").join(open_, "key").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id")))
+        rows = settle(rows.join(info, "id"))
+        reach = rows.where(f"r > 1 and many - r >= {low}").select("key", "id", "component", *[F.col(c).alias(f"x_{c}") for c in columns], F.explode(F.expr(f"sequence(r + {low}, least(r + {high}, cast(many as int)))")).alias("s"))
+        other = rows.select("key", F.col("r").alias("s"), F.col("id").alias("other"), F.col("component").alias("their"), *[F.col(c).alias(f"y_{c}") for c in columns])
+        pairs = reach.join(other, (reach["key"] == other["key"]) & (reach["s"] == other["s"]) & F.expr(f"component <> their and ({near})"))
+        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        more = verify(pairs)
+        # New links join components: only their graph is searched.
+        for side in "ab":
+            more = more.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+        more = settle(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())
         if more.limit(1).count():
-            links = links.union(more)
-            found = settle(components(links))
+            moved = settle(components(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+            of = moved.select(F.col("node").alias("component"), F.col("component").alias("now"))
+            whole = found.join(of, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+            fresh = moved.join(found.select("node"), "node", "left_anti")
+            before, found = found, settle(whole.union(fresh))
+            release(before, moved)
+        release(open_, rows, more)
         if high >= most:
             return found
         low, high = high + 1, high * 8

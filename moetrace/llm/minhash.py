@@ -86,6 +86,28 @@ def registers(h: np.ndarray, k: int) -> np.ndarray:
     return (zeros << U(MANTISSA) | (low << (zeros + U(1))) >> U(64 - MANTISSA)).astype(np.uint16)
 
 
+def bits(reg: np.ndarray) -> list[int]:
+    """The last bit of each of the first 128 registers, as two longs: registers that agree give equal bits, others by chance."""
+    return np.packbits(reg[:128].astype(np.uint8) & 1).view(np.int64).tolist()
+
+
+#: Longs of an odd sketch.
+ODD = 16
+
+
+def odd_sketch(h: np.ndarray) -> list[int]:
+    """For each of 64 * ODD slots, whether an odd number of hashes falls there. Where two sketches differ in d bits, the
+    sets differ in d elements at least: a bound that never turns a link away."""
+    slots = np.bincount((h % U(64 * ODD)).astype(np.int64), minlength=64 * ODD)
+    return np.packbits(slots.astype(np.uint8) & 1).view(np.int64).tolist()
+
+
+def most_unlike(percent: int) -> int:
+    """Of 128 such bits, as many as may differ between sets of that Jaccard: the mean and 6.5 standard deviations."""
+    p = (1 - percent / 100) / 2
+    return int(128 * p + 6.5 * (128 * p * (1 - p)) ** 0.5)
+
+
 def band_keys(reg: np.ndarray, bands: int, rows: int) -> np.ndarray:
     at = reg.astype(U).reshape(bands, rows)
     key = np.arange(1, bands + 1, dtype=U)
@@ -105,7 +127,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 
 def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_hash (16 bytes over the whole set), registers, keys."""
+    """doc_id, n_shingles, set_hash (16 bytes over the whole set), registers, bits (the registers' last bits, then the odd sketch), keys."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,20 +138,20 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS)
                 h = shingle_hashes(text, size, cache)
                 if len(h):
                     reg = registers(h, bands * rows)
-                    out.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), reg.tobytes(), band_keys(reg, bands, rows)))
+                    out.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), reg.tobytes(), bits(reg) + odd_sketch(h), band_keys(reg, bands, rows)))
                 else:
-                    out.append((0, None, None, None))
-            y = pd.DataFrame(out, columns=["n_shingles", "set_hash", "registers", "keys"], index=x.index)
+                    out.append((0, None, None, None, None))
+            y = pd.DataFrame(out, columns=["n_shingles", "set_hash", "registers", "bits", "keys"], index=x.index)
             yield pd.concat([x[["doc_id"]], y], axis=1)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_hash binary, registers binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_hash binary, registers binary, bits array<long>, keys array<long>")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for documents (doc_id, text): one row per row of docs."""
     docs = docs.select("doc_id", "text")
     sig = settle(signatures(docs, size, bands, rows))
-    classes = settle(sig.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.first("keys").alias("keys")))
+    classes = settle(sig.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
     named = classes.where("id is not null")
 
     @F.pandas_udf("boolean")
@@ -161,7 +183,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
             close = close.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")), side)
         return close.where(alike("ta", "tb")).select("a", "b").distinct()
 
-    found = link_buckets(named.select(F.explode("keys").alias("key"), "id"), verify)
+    info = named.select("id", "n", F.col("bits").alias("b"))
+    unlike = lambda low, high: " + ".join(f"bit_count(x_b[{i}] ^ y_b[{i}])" for i in range(low, high))
+    near = f"least(x_n, y_n) * 100 >= {percent} * greatest(x_n, y_n) and {unlike(0, 2)} <= {most_unlike(percent)}"
+    # Sets of that Jaccard differ in at most (100 - percent) / (100 + percent) of the sum of their sizes.
+    near += f" and {100 + percent} * ({unlike(2, 2 + ODD)}) <= {100 - percent} * (x_n + y_n)"
+    found = link_buckets(named.select(F.explode("keys").alias("key"), "id"), verify, info, near)
     where = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set_hash").join(where, "set_hash", "left")
     out = out.withColumn("component_id", F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
