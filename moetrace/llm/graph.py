@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, settle
@@ -38,48 +38,44 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], info: DataFrame, near: str) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], info: Callable[[DataFrame], DataFrame], near: str, prefixes: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) over the verified links among members (key, id) that share a key.
 
-    First each bucket's smallest id is compared with the others of its bucket: as many pairs as members, whatever the
-    bucket's size. Buckets whose members then lie in one component are done: no further link could change anything.
-    In the others, members of different components are compared at growing distances in the bucket's order (2 to 8,
-    to 64, ...) until every such pair has been compared or joined otherwise; so no bucket is capped and no link between
-    components is lost. Before a pair is made there, near has to hold for it: SQL over the columns of info (id, ...),
-    prefixed x_ and y_, that holds for every link. verify takes pairs (a, b), a < b, and returns those that are links."""
-    members = settle(members.select("key", "id").distinct())
-    groups = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    star = members.join(groups, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    found = settle(components(verify(star)))
-    columns = [c for c in info.columns if c != "id"]
-    low, high = 1, 8
-    while True:
-        at = members.join(groups.where(f"n > {low + 1}"), "key")
-        at = at.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("many")).where("c0 <> c1").select("key", "many")
-        open_ = settle(open_)
-        most = open_.agg(F.max("many")).first()[0]
-        if most is None:
-            return found
-        rows = at.select("key", "id", "component").join(open_, "key").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id")))
-        rows = settle(rows.join(info, "id"))
-        reach = rows.where(f"r > 1 and many - r >= {low}").select("key", "id", "component", *[F.col(c).alias(f"x_{c}") for c in columns], F.explode(F.expr(f"sequence(r + {low}, least(r + {high}, cast(many as int)))")).alias("s"))
-        other = rows.select("key", F.col("r").alias("s"), F.col("id").alias("other"), F.col("component").alias("their"), *[F.col(c).alias(f"y_{c}") for c in columns])
-        pairs = reach.join(other, (reach["key"] == other["key"]) & (reach["s"] == other["s"]) & F.expr(f"component <> their and ({near})"))
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        more = verify(pairs)
-        # New links join components: only their graph is searched.
-        for side in "ab":
-            more = more.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-        more = settle(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())
-        if more.limit(1).count():
-            moved = settle(components(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
-            of = moved.select(F.col("node").alias("component"), F.col("component").alias("now"))
-            whole = found.join(of, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
-            fresh = moved.join(found.select("node"), "node", "left_anti")
-            before, found = found, settle(whole.union(fresh))
-            release(before, moved)
-        release(open_, rows, more)
-        if high >= most:
-            return found
-        low, high = high + 1, high * 8
+    First each bucket's most copied member (column copies, then the smallest id) is compared with the others of its
+    bucket: as many pairs as members, whatever the bucket's size, around the text that most others were edited from. Buckets whose members then lie in one component are done: no further link could change anything.
+    In the others, every member outside the bucket's largest component is compared with all members of other components
+    that it could be linked with: by prefixes, which gives (id, shingle) for ids, such that linked ids have a shingle in
+    common there, and by near, SQL over the columns that info gives for ids (id, ...), prefixed x_ and y_, which holds for every link.
+    So no bucket is capped and no link between components is lost, and pairs are made only where those bounds allow a
+    link. verify takes pairs (a, b), a < b, and returns those that are links."""
+    members = settle(members.select("key", "id", "copies").distinct())
+    central = F.min(F.struct(-F.col("copies"), F.col("id")))["id"].alias("pivot")
+    groups = members.groupBy("key").agg(central, F.count("*").alias("n")).where("n > 1")
+    pair = lambda df: df.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+    found = settle(components(verify(pair(members.join(groups.select("key", "pivot"), "key").where("id <> pivot")))))
+    at = members.join(groups.where("n > 2").select("key"), "key")
+    at = at.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    parts = at.groupBy("key", "component").agg(F.count("*").alias("m"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("m", "component"))["component"].alias("major"), F.count("*").alias("parts")).where("parts > 1")
+    rows = at.join(mixed, "key").groupBy("id", "component").agg(F.max(F.col("component") != F.col("major")).alias("minor"))
+    rows = settle(rows)
+    held = info(rows.select("id"))
+    rows = settle(rows.join(held, "id"))
+    if not rows.limit(1).count():
+        return found
+    first = settle(prefixes(rows.select("id")))
+    columns = [c for c in held.columns if c != "id"]
+    x = rows.where("minor").join(first, "id").select("shingle", "id", "component", *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = rows.join(first, "id").select(F.col("shingle").alias("same"), F.col("id").alias("other"), F.col("component").alias("their"), *[F.col(c).alias(f"y_{c}") for c in columns])
+    pairs = x.join(y, (x["shingle"] == y["same"]) & F.expr(f"component <> their and ({near})"))
+    more = verify(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+    # New links join components: only their graph is searched.
+    for side in "ab":
+        more = more.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+    more = more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = settle(components(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    of = moved.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    whole = found.join(of, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    out = settle(whole.union(moved.join(found.select("node"), "node", "left_anti")))
+    release(members, found, rows, first, moved)
+    return out

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import Shared, settle, small_batches
 from .graph import link_buckets
 
 #: With a Jaccard of 0.8, a pair misses all of 28 bands of 5 with probability 1.6e-5.
@@ -91,6 +91,8 @@ def bits(reg: np.ndarray) -> list[int]:
     return np.packbits(reg[:128].astype(np.uint8) & 1).view(np.int64).tolist()
 
 
+#: Slots that shingles are counted in to tell rare ones, and documents counted at most.
+SLOTS, RARE_ROWS = 1 << 20, 2000
 #: Longs of an odd sketch.
 ODD = 16
 
@@ -149,9 +151,9 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS)
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for documents (doc_id, text): one row per row of docs."""
-    docs = docs.select("doc_id", "text")
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     sig = settle(signatures(docs, size, bands, rows))
-    classes = settle(sig.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
+    classes = settle(sig.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
     named = classes.where("id is not null")
 
     @F.pandas_udf("boolean")
@@ -183,12 +185,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
             close = close.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")), side)
         return close.where(alike("ta", "tb")).select("a", "b").distinct()
 
-    info = named.select("id", "n", F.col("bits").alias("b"))
+    def prefixes(ids: DataFrame) -> DataFrame:
+        """The rarest shingles of each document, as many as a link must share one of. How rare they are is counted in
+        a bounded sample; any order that all documents keep gives the same links."""
+        texts = settle(docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
+        n = max(1, texts.count())
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cache, slots = _Words(), np.zeros(SLOTS, np.int64)
+            for x in batches:
+                for text in x["text"]:
+                    slots[(shingle_hashes(text, size, cache) >> U(8)).astype(np.int64) % SLOTS] += 1
+            yield pd.DataFrame({"slot": (at := np.flatnonzero(slots)), "n": slots[at]})
+
+        some = texts.where(F.pmod(F.xxhash64(F.lit("rare"), "doc_id"), F.lit(1_000_000)) < F.lit(min(1.0, RARE_ROWS / n) * 1_000_000))
+        seen = np.zeros(SLOTS, np.int32)
+        for slot, k in some.mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n")).toPandas().to_numpy():
+            seen[slot] = k
+        held = Shared(spark, seen)
+
+        def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cache = _Words()
+            for x in batches:
+                out = []
+                for text in x["text"]:
+                    h = shingle_hashes(text, size, cache)
+                    h = h[np.lexsort((h, held.value[(h >> U(8)).astype(np.int64) % SLOTS]))]
+                    out.append(h[: len(h) - -(-percent * len(h) // 100) + 1].view(np.int64))
+                yield pd.DataFrame({"id": x["doc_id"], "first": out})
+
+        return texts.mapInPandas(take, "id long, first array<long>").select("id", F.explode("first").alias("shingle")).distinct()
+
+    def info(ids: DataFrame) -> DataFrame:
+        return named.select("id", "n", F.col("bits").alias("b")).join(ids, "id", "left_semi")
+
     unlike = lambda low, high: " + ".join(f"bit_count(x_b[{i}] ^ y_b[{i}])" for i in range(low, high))
     near = f"least(x_n, y_n) * 100 >= {percent} * greatest(x_n, y_n) and {unlike(0, 2)} <= {most_unlike(percent)}"
     # Sets of that Jaccard differ in at most (100 - percent) / (100 + percent) of the sum of their sizes.
     near += f" and {100 + percent} * ({unlike(2, 2 + ODD)}) <= {100 - percent} * (x_n + y_n)"
-    found = link_buckets(named.select(F.explode("keys").alias("key"), "id"), verify, info, near)
+    found = link_buckets(named.select(F.explode("keys").alias("key"), "id", "copies"), verify, info, near, prefixes)
     where = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set_hash").join(where, "set_hash", "left")
     out = out.withColumn("component_id", F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
