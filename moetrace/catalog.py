@@ -1,15 +1,39 @@
-"""The registered queries over the reference workload."""
+"""The registered queries of the routing-trace engine, and their SQL for the checking engine."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import folds
+from .plans.statements import STATEMENTS
+from .sources import derive
+
+
+def _names(sql: str) -> list[str]:
+    return sorted(set(re.findall(r"\{(\w+)\}", sql)))
+
+
+def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: spark.sql(sql, **{n: derive.BUILD[n](spark, sf_dir) for n in _names(sql)})
+
+
+def _sweep(policy: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: folds.sweep(derive.log(spark, sf_dir), (1, 3, 8, 16, 32, 48, 80, 120, 160), policy)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**{k: _query(v) for k, v in STATEMENTS.items()}, "lfu_sweep": _sweep("lfu"), "belady_sweep": _sweep("belady")}
+
+
+def _standalone(sql: str) -> str:
+    needed: list[str] = []
+    for n in _names(sql):
+        needed += [x for x in [*derive.NEEDS.get(n, []), n] if x not in needed]
+    return "WITH " + ", ".join(f"{n} AS ({derive.SQL[n]})" for n in needed) + " " + re.sub(r"\{(\w+)\}", r"\1", sql)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: _standalone(v) for k, v in STATEMENTS.items()}
