@@ -38,18 +38,18 @@ def settle(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    jvm.System.gc()  # the driver drops the shuffles behind what was written once it collects their plans
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete settled tables that nothing reads any more, and let go of shuffles of dropped plans."""
+    """Delete settled tables that nothing reads any more."""
     jvm = tables[0].sparkSession.sparkContext._jvm
     conf = tables[0].sparkSession.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for df in tables for f in df.inputFiles()}:
         if "/moetrace-" in folder:
             where = jvm.org.apache.hadoop.fs.Path(folder)
             where.getFileSystem(conf).delete(where, True)
-    jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

@@ -51,9 +51,12 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], i
     members = settle(members.select("key", "id", "copies").distinct())
     central = F.min(F.struct(-F.col("copies"), F.col("id")))["id"].alias("pivot")
     groups = members.groupBy("key").agg(central, F.count("*").alias("n")).where("n > 1")
-    pair = lambda df: df.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-    found = settle(components(verify(pair(members.join(groups.select("key", "pivot"), "key").where("id <> pivot")))))
-    at = members.join(groups.where("n > 2").select("key"), "key")
+    # Most keys have one member: only the others are kept.
+    crowd = settle(members.select("key", "id").join(groups, "key"))
+    release(members)
+    star = crowd.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+    found = settle(components(verify(star)))
+    at = crowd.where("n > 2").select("key", "id")
     at = at.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     parts = at.groupBy("key", "component").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("m", "component"))["component"].alias("major"), F.count("*").alias("parts")).where("parts > 1")
@@ -77,5 +80,5 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], i
     of = moved.select(F.col("node").alias("component"), F.col("component").alias("now"))
     whole = found.join(of, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
     out = settle(whole.union(moved.join(found.select("node"), "node", "left_anti")))
-    release(members, found, rows, first, moved)
+    release(crowd, found, rows, first, moved)
     return out
