@@ -69,6 +69,8 @@ def grams(x: np.ndarray) -> Iterator[np.ndarray]:
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """n rows of +1 and -1: all splits of up to 7 languages, else random splits, about ten a doubling of n."""
+    if not n:
+        return np.ones((0, 1))
     if n <= 7:
         splits = [[1 - 2 * (i >> j & 1) for j in range(n)] for i in range(1, max(2, 1 << max(0, n - 1)))]
         return np.array(splits, float).T.reshape(n, -1)

@@ -188,7 +188,7 @@ def test_toxicity(spark):
 
 
 def test_licenses(spark):
-    rows = [(1, "code\nReleased under the MIT license\nmore"), (2, None), (3, ""), (4, licenses.TEMPLATES["ISC-grant"].upper()), (5, "license")]
+    rows = [(1, "some lines of code that say nothing else\nReleased under the MIT license\nmore of the same kind"), (2, None), (3, ""), (4, licenses.TEMPLATES["ISC-grant"].upper()), (5, "license")]
     got = {(r.doc_id, r.line, r.license) for r in licenses.scan(_docs(spark, rows)).collect()}
     assert got == {(1, 1, "MIT-notice"), (4, 0, "ISC-grant")}
 
