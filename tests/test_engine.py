@@ -65,4 +65,5 @@ def test_folds_against_loops():
     for _ in range(20):
         keys, c = [rng.randrange(12) for _ in range(200)], rng.randrange(1, 10)
         assert folds.lfu(keys, c) == _slow_lfu(keys, c)
-        assert folds.belady(keys, c) == _slow_belady(keys, c) >= folds.lfu(keys, c)
+        # No order between the two: this Belady always admits, while LFU may turn a newcomer away.
+        assert folds.belady(keys, c) == _slow_belady(keys, c)
