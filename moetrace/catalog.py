@@ -6,9 +6,10 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .operators import folds
-from .plans.statements import STATEMENTS
+from .operators import bytecache, folds, ordering
+from .plans.statements import EDGES, OFFSETS, STATEMENTS
 from .sources import derive
 
 
@@ -24,8 +25,39 @@ def _sweep(policy: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: folds.sweep(derive.log(spark, sf_dir), (1, 3, 8, 16, 32, 48, 80, 120, 160), policy)
 
 
+def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log with sizes by the layout's rule."""
+    size = F.expr("1000 + ((key & 4294967295) * 7919 + shiftright(key, 32) * 104729) % 60000")
+    return bytecache.sweep(derive.log(spark, sf_dir).withColumn("size", size), (0.05, 0.2, 0.5))
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.order_layers(derive.layout(spark, sf_dir), _query(EDGES)(spark, sf_dir))
+
+
+def _capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of edge weight between neighbours in the order: by index, and by chains."""
+    edges, by_index = _query(EDGES)(spark, sf_dir), derive.layout(spark, sf_dir).select("layer", "expert", F.col("expert").alias("place"))
+    out = []
+    for name, order in (("index", by_index), ("chains", _chains(spark, sf_dir))):
+        at = edges
+        for side in "ab":
+            at = at.join(order.select("layer", F.col("expert").alias(side), F.col("place").alias(f"p{side}")), ["layer", side])
+        share = F.sum(F.when(F.abs(F.col("pa") - F.col("pb")) == 1, F.col("weight")).otherwise(0.0)) / F.sum("weight")
+        out.append(at.groupBy("layer").agg(F.round(share, 6).alias("captured")).select(F.lit(name).alias("placing"), "layer", "captured"))
+    return out[0].union(out[1])
+
+
+def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wants = derive.trace(spark, sf_dir).join(_query(OFFSETS)(spark, sf_dir), ["layer", "expert"]).select("token", "layer", "off", "len")
+    return ordering.capped_plan(wants, ["token", "layer"], gap=1 << 16, cap=1 << 17)
+
+
+OTHERS = {"lfu_sweep": _sweep("lfu"), "belady_sweep": _sweep("belady"), "byte_cache_sweep": _bytes, "chain_order": _chains, "chain_capture": _capture, "plan_capped": _capped}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{k: _query(v) for k, v in STATEMENTS.items()}, "lfu_sweep": _sweep("lfu"), "belady_sweep": _sweep("belady")}
+    return {**{k: _query(v) for k, v in STATEMENTS.items()}, **OTHERS}
 
 
 def _standalone(sql: str) -> str:

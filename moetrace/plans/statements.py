@@ -41,12 +41,14 @@ KNEE = f"SELECT CAST(min(capacity) AS INT) AS knee FROM ({LRU_TRACE}) h CROSS JO
 CLIFF = f"SELECT capacity, round(hits / CAST(n AS DOUBLE), 6) AS hit_rate FROM ({LRU_TRACE}) h CROSS JOIN (SELECT count(*) AS n FROM {{accesses}}) a WHERE capacity IN (15, 16)"
 USES = "SELECT i, key, lag(i) OVER (PARTITION BY key ORDER BY i) AS prev_use, lead(i) OVER (PARTITION BY key ORDER BY i) AS next_use FROM {log}"
 OFFSETS = f"SELECT layer, expert, pos, len, CAST(sum({ALIGNED}) OVER (PARTITION BY 1 ORDER BY pos) - {ALIGNED} AS BIGINT) AS off FROM {{layout}}"
+# Transfers move whole blocks: lengths padded.
+PADDED = f"SELECT layer, expert, off, {ALIGNED} AS len FROM ({OFFSETS})"
 
 
 def requests(gap: int | None) -> str:
     """Transfers of each (token, layer): runs of wanted experts whose gaps are at most gap bytes; None: one each."""
-    wants = f"SELECT t.token, t.layer, o.off, o.len, lag(o.off + o.len) OVER (PARTITION BY t.token, t.layer ORDER BY o.off) AS upto FROM (SELECT DISTINCT token, layer, expert FROM {{trace}}) t JOIN ({OFFSETS}) o ON o.layer = t.layer AND o.expert = t.expert"
-    new = "1" if gap is None else f"CASE WHEN upto IS NULL OR off - CAST(floor((upto + 4095) / 4096) * 4096 AS BIGINT) > {gap} THEN 1 ELSE 0 END"
+    wants = f"SELECT t.token, t.layer, o.off, o.len, lag(o.off + o.len) OVER (PARTITION BY t.token, t.layer ORDER BY o.off) AS upto FROM (SELECT DISTINCT token, layer, expert FROM {{trace}}) t JOIN ({PADDED}) o ON o.layer = t.layer AND o.expert = t.expert"
+    new = "1" if gap is None else f"CASE WHEN upto IS NULL OR off - upto > {gap} THEN 1 ELSE 0 END"
     runs = f"SELECT token, layer, off, len, sum({new}) OVER (PARTITION BY token, layer ORDER BY off) AS req FROM ({wants})"
     return f"SELECT token, layer, CAST(req AS BIGINT) AS req, min(off) AS file_offset, max(off + len) - min(off) AS span, CAST(sum(len) AS BIGINT) AS wanted, count(*) AS experts FROM ({runs}) GROUP BY token, layer, req"
 
@@ -70,6 +72,20 @@ DOMAINS = f"""SELECT round(w, 6) AS within, round(x, 6) AS across, round(w - x,
   SELECT sum(CASE WHEN same THEN s ELSE 0 END) / max(n_same) AS w, sum(CASE WHEN same THEN 0 ELSE s END) / max(n_other) AS x FROM (
     SELECT p.domain = q.domain AS same, sum(p.v * q.v) AS s FROM ({PROFILES}) p JOIN ({PROFILES}) q ON p.layer = q.layer AND p.a = q.a AND p.b = q.b AND (p.domain < q.domain OR (p.domain = q.domain AND p.win < q.win)) GROUP BY p.domain, p.win, q.domain, q.win)
   CROSS JOIN (SELECT sum(c * (c - 1) / 2) AS n_same, sum(c) * (sum(c) - 1) / 2 - sum(c * (c - 1) / 2) AS n_other FROM (SELECT domain, count(DISTINCT win) AS c FROM ({PROFILES}) GROUP BY domain)))"""
+# Separation of domains against circular shifts of the windows. Profiles have length 1, so the similarities within a group
+# of windows add up to (|sum of profiles|^2 - windows) / 2: work grows with windows and shifts, not with pairs of windows.
+# At most 200 shifts, spread evenly, and shift 0, the truth; shifts that leave the grouping as it was are left out.
+STARTS = f"SELECT domain, win, min(start) + win * {WINDOW} AS at FROM (SELECT domain, start, CAST(floor(pos / {WINDOW}) AS BIGINT) AS win FROM {{tagged}}) WHERE (domain, win) IN (SELECT domain, win FROM ({PROFILES})) GROUP BY domain, win"
+SHIFTS = "SELECT DISTINCT token AS shift FROM {tagged} CROSS JOIN (SELECT max(token) + 1 AS n FROM {tagged}) WHERE token = 0 OR floor(token * 200.0e0 / n) > floor((token - 1) * 200.0e0 / n)"
+SHIFTED = f"""SELECT s.shift, w.domain, w.win, b.domain AS label FROM ({STARTS}) w CROSS JOIN ({SHIFTS}) s CROSS JOIN (SELECT max(token) + 1 AS n FROM {{tagged}}) m
+  JOIN (SELECT domain, min(token) AS low, max(token) AS high FROM {{tagged}} GROUP BY domain) b ON (w.at + s.shift) % m.n BETWEEN b.low AND b.high"""
+SPLITS = f"SELECT shift, count(DISTINCT domain * 1000000 + label) = count(DISTINCT domain) AND count(DISTINCT domain) = count(DISTINCT label) AS aligned FROM ({SHIFTED}) GROUP BY shift"
+GROUPED = f"SELECT shift, sum((q - c) / 2) AS same, sum(c * (c - 1) / 2.0e0) AS n_same, sum(c) AS n FROM (SELECT x.shift, x.label, max(k.c) AS c, sum(x.v * x.v) AS q FROM (SELECT s.shift, s.label, p.layer, p.a, p.b, sum(p.v) AS v FROM ({SHIFTED}) s JOIN ({PROFILES}) p ON p.domain = s.domain AND p.win = s.win GROUP BY s.shift, s.label, p.layer, p.a, p.b) x JOIN (SELECT shift, label, count(*) AS c FROM ({SHIFTED}) GROUP BY shift, label) k ON k.shift = x.shift AND k.label = x.label GROUP BY x.shift, x.label) GROUP BY shift"
+WHOLE = f"SELECT sum(v * v) AS q FROM (SELECT layer, a, b, sum(v) AS v FROM ({PROFILES}) GROUP BY layer, a, b)"
+SEPARATIONS = f"SELECT g.shift, p.aligned, round(same / n_same - ((q - n) / 2 - same) / (n * (n - 1) / 2.0e0 - n_same), 9) AS separation FROM ({GROUPED}) g JOIN ({SPLITS}) p ON p.shift = g.shift CROSS JOIN ({WHOLE}) w"
+NULLS = f"""SELECT round(max(o.separation), 6) AS observed, round(avg(x.separation), 6) AS null_mean, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY x.separation), 6) AS null_p95,
+  CAST(sum(CASE WHEN x.separation >= o.separation THEN 1 ELSE 0 END) AS BIGINT) AS exceeded, count(*) AS shifts
+  FROM ({SEPARATIONS}) x CROSS JOIN (SELECT separation FROM ({SEPARATIONS}) WHERE shift = 0) o WHERE x.shift > 0 AND NOT x.aligned"""
 PRIORS = """SELECT k, 'persistence' AS prior, round(avg(r), 6) AS recall FROM (
   SELECT k.k, t.token, t.layer, sum(CASE WHEN p.token IS NULL THEN 0.0e0 ELSE 1.0e0 END) / 4 AS r FROM {trace} t CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) k
   LEFT JOIN {trace} p ON p.token = t.token - 1 AND p.layer = t.layer AND p.expert = t.expert WHERE t.token >= 1 AND t.layer >= k.k GROUP BY k.k, t.token, t.layer) GROUP BY k
@@ -113,6 +129,7 @@ STATEMENTS = {
     "schedule_metrics": SCHEDULE,
     "prefill_output": PREFILL,
     "domain_similarity": DOMAINS,
+    "domain_null": NULLS,
     "lookahead_priors": PRIORS,
     "corpus_segments": SEGMENTS,
     "verdicts": VERDICTS,
