@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import bytecache, folds, ordering
+from .operators import bytecache, folds, ordering, probes
 from .plans.statements import EDGES, OFFSETS, STATEMENTS
 from .sources import derive
 
@@ -53,7 +53,11 @@ def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.capped_plan(wants, ["token", "layer"], gap=1 << 16, cap=1 << 17)
 
 
-OTHERS = {"lfu_sweep": _sweep("lfu"), "belady_sweep": _sweep("belady"), "byte_cache_sweep": _bytes, "chain_order": _chains, "chain_capture": _capture, "plan_capped": _capped}
+def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probes.linear_probe(derive.hidden(spark, sf_dir), derive.trace(spark, sf_dir), derive.EXPERTS, derive.EXPERTS, 2 * derive.TOP, (1, 2))
+
+
+OTHERS = {"lfu_sweep": _sweep("lfu"), "belady_sweep": _sweep("belady"), "byte_cache_sweep": _bytes, "chain_order": _chains, "chain_capture": _capture, "plan_capped": _capped, "linear_probe": _probe}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

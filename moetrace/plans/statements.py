@@ -86,9 +86,12 @@ SEPARATIONS = f"SELECT g.shift, p.aligned, round(same / n_same - ((q - n) / 2 -
 NULLS = f"""SELECT round(max(o.separation), 6) AS observed, round(avg(x.separation), 6) AS null_mean, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY x.separation), 6) AS null_p95,
   CAST(sum(CASE WHEN x.separation >= o.separation THEN 1 ELSE 0 END) AS BIGINT) AS exceeded, count(*) AS shifts
   FROM ({SEPARATIONS}) x CROSS JOIN (SELECT separation FROM ({SEPARATIONS}) WHERE shift = 0) o WHERE x.shift > 0 AND NOT x.aligned"""
+# The budget is eight experts: the four of the token before, then the smallest others. Only tokens after the split count.
 PRIORS = """SELECT k, 'persistence' AS prior, round(avg(r), 6) AS recall FROM (
-  SELECT k.k, t.token, t.layer, sum(CASE WHEN p.token IS NULL THEN 0.0e0 ELSE 1.0e0 END) / 4 AS r FROM {trace} t CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) k
-  LEFT JOIN {trace} p ON p.token = t.token - 1 AND p.layer = t.layer AND p.expert = t.expert WHERE t.token >= 1 AND t.layer >= k.k GROUP BY k.k, t.token, t.layer) GROUP BY k
+  SELECT k, token, layer, sum(CASE WHEN held OR expert - below < 4 THEN 1.0e0 ELSE 0.0e0 END) / 4 AS r FROM (
+    SELECT k.k, t.token, t.layer, t.expert, max(CASE WHEN p.expert = t.expert THEN 1 ELSE 0 END) = 1 AS held, sum(CASE WHEN p.expert < t.expert THEN 1 ELSE 0 END) AS below
+    FROM {trace} t CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) k CROSS JOIN (SELECT floor(max(token) * 0.7e0) AS cut FROM {trace}) c
+    JOIN {trace} p ON p.token = t.token - 1 AND p.layer = t.layer WHERE t.token - 1 >= cut AND t.layer >= k.k GROUP BY k.k, t.token, t.layer, t.expert) GROUP BY k, token, layer) GROUP BY k
 UNION ALL
 SELECT k, 'static' AS prior, round(avg(r), 6) AS recall FROM (
   SELECT k.k, t.token, t.layer, sum(CASE WHEN s.expert IS NULL THEN 0.0e0 ELSE 1.0e0 END) / 4 AS r FROM {trace} t CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) k CROSS JOIN (SELECT floor(max(token) * 0.7e0) AS cut FROM {trace}) c

@@ -20,6 +20,12 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("token", "label", F.expr("cast(pos div 16 as int)").alias("layer"), F.expr("cast(pos % 16 as int)").alias("expert"), "score")
 
 
+def hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token, layer, h: the scores of a layer as its hidden state."""
+    at = F.posexplode(F.expr("transform(sequence(0, 3), l -> cast(slice(embedding, 16 * l + 1, 16) as array<double>))")).alias("layer", "h")
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token"), at)
+
+
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A token's scores come from one row, so its four best are picked there, without a shuffle.
     best = "transform(slice(sort_array(transform(slice(embedding, 16 * l + 1, 16), (x, e) -> struct(-x as s, e as e))), 1, 4), x -> x.e)"
