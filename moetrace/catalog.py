@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import bytecache, folds, ordering, probes
 from .plans.statements import EDGES, OFFSETS, STATEMENTS
-from .sources import derive
+from .sources import derive, tensors
 
 
 def _names(sql: str) -> list[str]:
@@ -57,7 +57,20 @@ def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probes.linear_probe(derive.hidden(spark, sf_dir), derive.trace(spark, sf_dir), derive.EXPERTS, derive.EXPERTS, 2 * derive.TOP, (1, 2))
 
 
-OTHERS = {"lfu_sweep": _sweep("lfu"), "belady_sweep": _sweep("belady"), "byte_cache_sweep": _bytes, "chain_order": _chains, "chain_capture": _capture, "plan_capped": _capped, "linear_probe": _probe}
+#: (name, dtype, first axis, other elements, bytes of an element): a small model's tensors.
+TENSORS = [(f"model.layers.{layer}.{name}", "BF16", n, rest, 2) for layer in range(2) for name, n, rest in (("block_sparse_moe.input_linear.weight", 3, 32), ("block_sparse_moe.output_linear.weight", 3, 16), ("block_sparse_moe.router.layer.weight", 3, 8), ("self_attn.q_proj.weight", 4, 4))]
+
+
+def _tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(name, dtype, [n, rest], 0, n * rest * width) for name, dtype, n, rest, width in TENSORS]
+    return tensors.expert_parts(spark.createDataFrame(rows, "name string, dtype string, shape array<bigint>, begin bigint, upto bigint"))
+
+
+TENSOR_SQL = f"""SELECT CAST(layer AS INT) AS layer, CAST(e AS INT) AS expert, projection, name, e * len AS offset, len FROM (
+  SELECT name, regexp_extract(name, '[.]layers[.]([0-9]+)[.]', 1) AS layer, regexp_extract(name, 'block_sparse_moe[.](.+)$', 1) AS projection, CAST(rest * width AS BIGINT) AS len, unnest(generate_series(0, n - 1)) AS e
+  FROM (VALUES {", ".join(map(str, TENSORS))}) t(name, dtype, n, rest, width)) WHERE projection <> '' AND projection NOT LIKE 'router.%'"""
+
+OTHERS = {"lfu_sweep": _sweep("lfu"), "belady_sweep": _sweep("belady"), "byte_cache_sweep": _bytes, "chain_order": _chains, "chain_capture": _capture, "plan_capped": _capped, "linear_probe": _probe, "tensor_plan": _tensors}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,4 +85,4 @@ def _standalone(sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: _standalone(v) for k, v in STATEMENTS.items()}
+    return {**{k: _standalone(v) for k, v in STATEMENTS.items()}, "tensor_plan": TENSOR_SQL}
