@@ -42,6 +42,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def among(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of df whose `on`, a long, is in that column of ids, a settled table. Where ids are few enough, Spark builds a
+    Bloom filter of them (at most 8 MB; larger ids get none), so that other rows never reach the join's shuffle."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "64m")
+    # Spark builds the filter only from a side that has a condition: this one is always true.
+    return df.join(ids.select(on).where(f"{on} >= -9223372036854775808"), on, "left_semi")
+
+
 def release(*tables: DataFrame) -> None:
     """Delete settled tables that nothing reads any more."""
     jvm = tables[0].sparkSession.sparkContext._jvm

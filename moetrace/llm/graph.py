@@ -11,6 +11,8 @@ from .common import release, settle
 
 #: Rounds double the reach of a label, so this bounds paths longer than any table has rows.
 MOST_ROUNDS = 60
+#: Links a task of a round takes at least: small graphs are not cut into more files than they have use for.
+ROUND_ROWS = 100_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,7 +22,7 @@ def components(links: DataFrame) -> DataFrame:
     of them (large star, then small star). Rows stay within twice the links, and rounds grow with the logarithm of the
     longest path. Each round is written to the shared folder."""
     edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    digest = None
+    digest, rows = None, edges.count()
     for _ in range(MOST_ROUNDS):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -28,12 +30,12 @@ def components(links: DataFrame) -> DataFrame:
         large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, edges = edges, settle(small.union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        before, edges = edges, settle(small.union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(-(-rows // ROUND_ROWS) or 1))
         release(before)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(38,0)))")).first()
         if now == digest:
             break
-        digest = now
+        digest, rows = now, now[0]
     nodes = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -48,12 +50,11 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], i
     common there, and by near, SQL over the columns that info gives for ids (id, ...), prefixed x_ and y_, which holds for every link.
     So no bucket is capped and no link between components is lost, and pairs are made only where those bounds allow a
     link. verify takes pairs (a, b), a < b, and returns those that are links."""
-    members = settle(members.select("key", "id", "copies").distinct())
+    members = members.select("key", "id", "copies")
     central = F.min(F.struct(-F.col("copies"), F.col("id")))["id"].alias("pivot")
     groups = members.groupBy("key").agg(central, F.count("*").alias("n")).where("n > 1")
     # Most keys have one member: only the others are kept.
     crowd = settle(members.select("key", "id").join(groups, "key"))
-    release(members)
     star = crowd.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
     found = settle(components(verify(star)))
     at = crowd.where("n > 2").select("key", "id")

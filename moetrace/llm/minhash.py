@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, settle, small_batches
+from .common import Shared, among, release, settle, small_batches
 from .graph import link_buckets
 
 #: With a Jaccard of 0.8, a pair misses all of 28 bands of 5 with probability 1.6e-5.
@@ -175,12 +175,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         return pd.Series(out, dtype=bool)
 
     def verify(pairs: DataFrame) -> DataFrame:
+        pairs = settle(pairs)
+        ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        held = settle(among(named.select("id", "n", "registers"), ids, "id"))
         for side in "ab":
-            pairs = pairs.join(named.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("registers").alias(f"r{side}")), side)
+            pairs = pairs.join(held.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("registers").alias(f"r{side}")), side)
         bound = f"least(na, nb) * 100 >= {percent} * greatest(na, nb)"
         close = settle(pairs.where(bound).where(likely("ra", "rb", "na", "nb")).select("a", "b"))
-        ids = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = settle(docs.join(ids, "doc_id", "left_semi"))
+        release(held)
+        ids = settle(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        texts = settle(among(docs, ids, "doc_id"))
         for side in "ab":
             close = close.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")), side)
         return close.where(alike("ta", "tb")).select("a", "b").distinct()
@@ -188,7 +192,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     def prefixes(ids: DataFrame) -> DataFrame:
         """The rarest shingles of each document, as many as a link must share one of. How rare they are is counted in
         a bounded sample; any order that all documents keep gives the same links."""
-        texts = settle(docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
+        texts = settle(among(docs, ids.select(F.col("id").alias("doc_id")), "doc_id"))
         n = max(1, texts.count())
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,13 +221,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         return texts.mapInPandas(take, "id long, first array<long>").select("id", F.explode("first").alias("shingle")).distinct()
 
     def info(ids: DataFrame) -> DataFrame:
-        return named.select("id", "n", F.col("bits").alias("b")).join(ids, "id", "left_semi")
+        return among(named.select("id", "n", F.col("bits").alias("b")), ids, "id")
 
     unlike = lambda low, high: " + ".join(f"bit_count(x_b[{i}] ^ y_b[{i}])" for i in range(low, high))
     near = f"least(x_n, y_n) * 100 >= {percent} * greatest(x_n, y_n) and {unlike(0, 2)} <= {most_unlike(percent)}"
     # Sets of that Jaccard differ in at most (100 - percent) / (100 + percent) of the sum of their sizes.
     near += f" and {100 + percent} * ({unlike(2, 2 + ODD)}) <= {100 - percent} * (x_n + y_n)"
-    found = link_buckets(named.select(F.explode("keys").alias("key"), "id", "copies"), verify, info, near, prefixes)
+    found = link_buckets(named.select(F.explode(F.array_distinct("keys")).alias("key"), "id", "copies"), verify, info, near, prefixes)
     where = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set_hash").join(where, "set_hash", "left")
     out = out.withColumn("component_id", F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
