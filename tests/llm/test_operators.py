@@ -80,6 +80,16 @@ def test_line_dedup(spark):
     assert got == {1: (rows[0][1], 0), 2: ("own line two there", 1), 3: ("", 1), 4: (None, 0), 5: ("", 0), 6: ("\n\n", 0)}
 
 
+def test_line_dedup_without_spaces(spark):
+    rng = random.Random(6)
+    cjk, code = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(200)), "".join(rng.choice("0123456789abcdef") for _ in range(300))
+    path = "://example.org/" + "".join(rng.choice("abcdefghij/_") for _ in range(200))
+    near = [(cjk, "\u5b57" + cjk), ("https" + path, "http" + path), (code, code[:140] + code[141:]), (code[::-1], code[:140:-1] + "xy" + code[140::-1])]
+    rows = [x for i, (a, b) in enumerate(near) for x in ((2 * i, a), (2 * i + 1, b))] + [(90, "tiny"), (91, "TINY"), (92, "tint"), (93, cjk[:120] + cjk[::-1])]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(_docs(spark, rows)).collect()}
+    assert got == {**{i: i % 2 for i in range(8)}, 90: 0, 91: 1, 92: 0, 93: 0}
+
+
 def test_sharding(spark, texts):
     got = sharding.shard_documents(_docs(spark, texts), 7).collect()
     assert len(got) == len(texts)
