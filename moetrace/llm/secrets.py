@@ -5,16 +5,22 @@ encoded (percent escapes, Unicode and character escapes, base64, compressed byte
 unwraps it again until nothing new appears; a layer whose content was seen before is not entered again, so cycles end.
 Characters of a layer keep the span of the original text they come from, and findings in a layer carry that span.
 
-Defined results: null and empty texts have no spans; spans are code points, end exclusive. A compressed layer is read up
-to MOST_LAYER bytes, so that a small text cannot unfold to any size."""
+Base64 is also read across line breaks. Compressed bytes are inflated as a stream, through every member and any depth, and
+searched in overlapping windows, so that memory does not grow with what a text unfolds to; only an unbroken encoded run
+is held whole. Bytes that are not UTF-8 (or UTF-16 with its mark) are read as Latin-1.
+
+Defined results: null and empty texts have no spans; spans are code points, end exclusive."""
 
 from __future__ import annotations
 
 import base64
 import binascii
-import gzip
+import codecs
 import hashlib
+import io
+import itertools
 import re
+import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +31,10 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 KINDS = ("assign", "access", "hex")
-MOST_LAYER = 64 << 20
+#: Characters searched at once in unwrapped bytes, those that the next window repeats, and bytes inflated at once.
+WINDOW, OVERLAP, CHUNK = 1 << 20, 1 << 12, 1 << 18
+#: Bytes of a compressed layer inside another that are kept in memory; more go to a temporary file.
+IN_MEMORY = 16 << 20
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -35,6 +44,11 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines: from the end of one line, over lines that hold nothing else.
+BREAK = re.compile(r"""[ \t]*(?:\r?\n|(?:\\r)?\\n|\r)[ \t>"'+]*""")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
+#: What a window does not end in: an encoded run.
+RUN = re.compile(rf"{WRAPPED.pattern}|[A-Za-z0-9+/_=%\\&#;{{}}-]++")
 PACKED_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
 
 Span = tuple[int, int, str]
@@ -52,38 +66,156 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
 
 
-def _as_text(raw: bytes) -> str | None:
-    """The text that bytes are, if they are mostly printable UTF-8 or UTF-16."""
-    for name in ("utf-8", "utf-16"):
-        if name == "utf-16" and raw[:2] not in (b"\xff\xfe", b"\xfe\xff"):
+def _latin(e: UnicodeDecodeError) -> tuple[str, int]:
+    return e.object[e.start : e.end].decode("latin-1"), e.end
+
+
+def _packed(head: bytes) -> int:
+    """The window bits of the gzip or zlib stream that may begin so, or 0."""
+    if head[:2] == b"\x1f\x8b":
+        return 31
+    return 15 if len(head) > 2 and head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0 else 0
+
+
+def _inflate(held: io.IOBase, at: int, bits: int, stop: list) -> Iterator[bytes]:
+    """Bytes behind the stream at a place of held; stop takes the place after it, or nothing where the stream is broken."""
+    held.seek(at)
+    z = zlib.decompressobj(bits)
+    try:
+        while not z.eof and (data := z.unconsumed_tail or held.read(CHUNK)):
+            new = z.decompress(data, CHUNK)
+            if new:
+                yield new
+        if not z.eof and (new := z.flush()):
+            yield new
+        if z.eof:
+            stop.append(held.tell() - len(z.unused_data))
+    except zlib.error:
+        return
+
+
+def _rest(held: io.IOBase, at: int) -> Iterator[bytes]:
+    held.seek(at)
+    while data := held.read(CHUNK):
+        yield data
+
+
+def _plain(raw: bytes) -> Iterator[Iterator[bytes]]:
+    """The byte streams in raw that are not compressed themselves: of every member at every depth, and what follows them.
+    Each is to be read before the next is asked for."""
+    work, seen = [io.BytesIO(raw)], set()
+    while work:
+        held = work.pop()
+        mark = hashlib.blake2b(digest_size=16)
+        for data in _rest(held, 0):
+            mark.update(data)
+        if mark.digest() in seen:
+            held.close()
+            continue
+        seen.add(mark.digest())
+        at, inner = 0, []
+        while True:
+            held.seek(at)
+            head = held.read(3)
+            if not head:
+                break
+            if not (bits := _packed(head)):
+                if at and head[:1] == b"\0":  # padding between members
+                    at += 1
+                    continue
+                yield _rest(held, at)
+                break
+            stop: list[int] = []
+            out = _inflate(held, at, bits, stop)
+            first = b""
+            for data in out:
+                first += data
+                if len(first) > 2:
+                    break
+            if _packed(first):
+                below = tempfile.SpooledTemporaryFile(IN_MEMORY)  # noqa: SIM115
+                below.write(first)
+                for data in out:
+                    below.write(data)
+                inner.append(below)
+            elif first:
+                yield itertools.chain([first], out)
+            if not stop:  # broken or cut short, or no such stream at all
+                yield _rest(held, at)
+                break
+            at = stop[0]
+        held.close()
+        work += inner
+
+
+def _windows(stream: Iterator[bytes]) -> Iterator[str]:
+    """The text of a byte stream in overlapping pieces, none of which begins inside an encoded run."""
+    codecs.register_error("moetrace-latin", _latin)  # here, as executors may hold this function without its module
+    text, least, decoder = "", WINDOW, None
+    for data in itertools.chain(stream, [b""]):
+        if decoder is None:
+            name = "utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8"
+            decoder = codecs.getincrementaldecoder(name)("moetrace-latin")
+        text += decoder.decode(data, not data)
+        if not data:
             break
-        try:
-            text = raw.decode(name)
-        except UnicodeDecodeError:
+        if len(text) < least:
+            continue
+        cut = len(text) - OVERLAP
+        for m in RUN.finditer(text):
+            if m.end() > cut:
+                cut = min(cut, m.start())
+                break
+        if cut <= 0:  # one run from the start: wait for its end, looking again after twice as much
+            least = 2 * len(text)
             continue
-        if sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text):
-            return text
-    return None
+        yield text
+        text = text[cut:]
+        least = max(WINDOW, 2 * len(text))
+    if text:
+        yield text
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """Bytes behind a gzip or zlib stream."""
-    gz = raw[:2] == b"\x1f\x8b"
-    if not gz and not (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
-    try:
-        return zlib.decompressobj(31 if gz else 15).decompress(raw, MOST_LAYER)
-    except (zlib.error, gzip.BadGzipFile):
-        return None
+def _texts(raw: bytes) -> Iterator[str]:
+    if raw and len(raw) <= CHUNK and not _packed(raw):  # nearly all: words that only look like base64
+        yield from _windows(iter([raw]))
+        return
+    for stream in _plain(raw):
+        yield from _windows(stream)
 
 
-def _bytes_text(raw: bytes) -> str | None:
-    for _ in range(16):
-        inner = _inflate(raw)
-        if inner is None:
-            break
-        raw = inner
-    return _as_text(raw) if raw else None
+def _unbase64(word: str) -> bytes:
+    """The bytes of a base64 word; none where it is not one."""
+    word = word.rstrip("=").replace("-", "+").replace("_", "/")
+    word = word[: len(word) - (len(word) % 4 == 1)]
+    try:
+        return base64.b64decode(word + "=" * (-len(word) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return b""
+
+
+def _wrapped(m: re.Match) -> Iterator[tuple[int, int, str]]:
+    """(start, end, word) of base64 over lines: the whole of it, and what begins where the width of lines changes (words
+    before the first line have another), up to a line shorter than the one before it."""
+    whole, at, parts = m.group(), 0, []
+    for b in BREAK.finditer(whole):
+        parts.append((at, b.start()))
+        at = b.end()
+    parts.append((at, len(whole)))
+    wide = [e - s for s, e in parts]
+    starts = [i for i in range(len(parts) - 1) if not i or wide[i] != wide[i - 1]]
+    ends = {len(parts)} if 0 in starts else set()
+    done = set()
+    for i in starts:
+        j = i + 2
+        while j < len(parts) and wide[j] == wide[j - 1]:
+            j += 1
+        if j < len(parts) and wide[j] < wide[j - 1]:
+            j += 1
+        for upto in {j} | (ends if i == 0 else set()):
+            if (i, upto) not in done and sum(wide[i:upto]) >= 16:
+                done.add((i, upto))
+                yield m.start() + parts[i][0], m.start() + parts[upto - 1][1], "".join(whole[s:e] for s, e in parts[i:upto])
 
 
 def _unescape(m: str) -> str:
@@ -150,20 +282,13 @@ def _unwrap(layer: _Layer) -> Iterator[_Layer]:
         yield from _rewrite(layer, found)
     if "\\" in text or "&#" in text:
         yield from _rewrite(layer, [(m.start(), m.end(), _unescape(m.group())) for m in ESCAPE.finditer(text)])
-    for m in BASE64.finditer(text):
-        word = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(word) % 4 == 1:
-            continue
-        try:
-            new = _bytes_text(base64.b64decode(word + "=" * (-len(word) % 4), validate=True))
-        except (binascii.Error, ValueError):
-            continue
-        if new:
-            s, e = layer.span(m.start(), m.end())
-            yield _Layer(new, [s] * len(new), [e] * len(new))
-    for m in PACKED_HEX.finditer(text):
-        if new := _bytes_text(bytes.fromhex(m.group())):
-            s, e = layer.span(m.start(), m.end())
+    found = [(m.start(), m.end(), m.group()) for m in BASE64.finditer(text) if len(m.group().rstrip("=")) % 4 != 1]
+    if "\n" in text or "\r" in text or "\\n" in text:
+        found += [x for m in WRAPPED.finditer(text) for x in _wrapped(m)]
+    raws = itertools.chain(((s, e, _unbase64(word)) for s, e, word in found), ((m.start(), m.end(), bytes.fromhex(m.group())) for m in PACKED_HEX.finditer(text)))
+    for start, end, raw in raws:
+        s, e = layer.span(start, end)
+        for new in _texts(raw):
             yield _Layer(new, [s] * len(new), [e] * len(new))
 
 
@@ -171,16 +296,21 @@ def all_spans(text: str, base: list[Span] | None = None) -> list[Span]:
     """Spans of the text and of every layer inside it, without repeats."""
     found = set(base_spans(text) if base is None else base)
     first = _Layer(text, range(len(text)), range(1, len(text) + 1))
-    work, seen = [first], {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
+    seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
+    # Depth first, one layer of each depth at a time: a long stream is never held as a list of layers.
+    work = [_unwrap(first)]
     while work:
-        for layer in _unwrap(work.pop()):
-            where = f"{layer.starts[0]}:{layer.ends[-1]}:" if layer.text else ""
-            mark = hashlib.blake2b((where + layer.text).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if mark in seen:
-                continue
-            seen.add(mark)
-            work.append(layer)
-            found.update((*layer.span(s, e), kind) for s, e, kind in base_spans(layer.text))
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        where = f"{layer.starts[0]}:{layer.ends[-1]}:" if layer.text else ""
+        mark = hashlib.blake2b((where + layer.text).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if mark in seen:
+            continue
+        seen.add(mark)
+        found.update((*layer.span(s, e), kind) for s, e, kind in base_spans(layer.text))
+        work.append(_unwrap(layer))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

@@ -170,6 +170,39 @@ def test_secrets(spark):
     assert got[3] == got[4] == got[5] == ([], []) and got[6][0] == [(0, 16, "access")]
 
 
+def test_secrets_whole_layers():
+    key, rng = b'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', random.Random(8)
+    filler = " ".join(_words(rng, 90)).encode()
+    kinds = lambda raw: {k for _, _, k in secrets.all_spans(raw if isinstance(raw, str) else base64.b64encode(raw).decode())}
+    both = {"assign", "hex"}
+    assert kinds(gzip.compress(filler) + gzip.compress(key)) == both  # a second member
+    assert kinds(gzip.compress(filler) + b"\0\0" + key) == both  # behind the last member
+    assert kinds("see\nMIME-Attachment-Of-Mail\n" + base64.encodebytes(gzip.compress(filler + key)).decode()) == both  # wrapped
+    for pad in range(40):  # plain, the secret across a line break
+        text = "data: " + base64.encodebytes(b"." * pad + b" " + key).decode()
+        assert kinds(text) >= both and (6, len(text) - 1) in {(s, e) for s, e, _ in secrets.all_spans(text)}
+    deep = key
+    for _ in range(40):
+        deep = gzip.compress(deep)
+    assert kinds(deep) == both
+    assert kinds(filler + b"\xff" + key) == both  # one byte that is not UTF-8
+    assert kinds(b"x^" + key) == both  # no zlib stream, though it begins like one
+    far = gzip.compress((b"\n." * 500 + b"\n") * 70_000 + base64.b64encode(gzip.compress(key)) + b" end")  # past 64 MB
+    assert kinds(far) == both
+    assert kinds(gzip.compress(filler)) == kinds(filler) == set()
+
+
+def test_secrets_windows_lose_nothing(monkeypatch):
+    rng, key = random.Random(3), b"AKIA" + b"A" * 16
+    monkeypatch.setattr(secrets, "WINDOW", 256)
+    monkeypatch.setattr(secrets, "OVERLAP", 64)
+    monkeypatch.setattr(secrets, "CHUNK", 50)
+    for _ in range(60):
+        coded = rng.choice([key, base64.b64encode(rng.randbytes(300) + b" " + key), base64.encodebytes(rng.randbytes(300) + b" " + key)])
+        text = b" ".join(rng.choice([b"word,", "n\u00e4chste".encode(), b"x" * 40]) for _ in range(rng.randrange(200))) + b" , " + coded + b" , " + b"tail, " * rng.randrange(90)
+        assert {k for _, _, k in secrets.all_spans(base64.b64encode(gzip.compress(text)).decode())} == {"access"}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(1200, 16))
