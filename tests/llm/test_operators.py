@@ -3,6 +3,7 @@
 import base64
 import gzip
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -236,6 +237,15 @@ def test_licenses(spark):
     assert got == {(1, 1, "MIT-notice"), (4, 0, "ISC-grant")}
 
 
+def test_licenses_in_windows(spark):
+    code = "".join(f"int main{i}() {{\n  return run{i}(first{i}, second{i});\n}}\n" for i in range(40))
+    wrap = lambda name: "\n".join(" * " + x for x in textwrap.wrap(licenses.TEMPLATES[name], 60))
+    twice = f"/*\n{wrap('MIT-grant')}\n*/\n{code}/*\n{wrap('MIT-grant')}\n*/"
+    rows = [(1, f"/*\n{wrap('Apache-2.0-header')}\n */\n{code}"), (2, code + wrap("GPL-3.0-header")), (3, twice), (4, "this whole page of notes about many things was once released under the MIT License by people who wrote it"), (5, code), (6, code + "Released under the MIT License.\n" + code)]
+    got = {(r.doc_id, r.line, r.license, r.dice) for r in licenses.scan(_docs(spark, rows)).collect()}
+    assert {x for x in got if x[2] != "Apache-2.0-notice"} == {(1, 1, "Apache-2.0-header", 1.0), (2, 120, "GPL-3.0-header", 1.0), (3, 1, "MIT-grant", 1.0), (3, twice.count("\n", 0, twice.rindex("/*")) + 1, "MIT-grant", 1.0), (4, 0, "MIT-notice", 1.0), (6, 120, "MIT-notice", 1.0)}
+
+
 def test_empty_tables(spark):
     none = _docs(spark, [])
     assert minhash.near_duplicates(none).count() == lines.dedup_lines(none).count() == sharding.shard_documents(none).count() == 0
