@@ -7,11 +7,13 @@ RANKED = f"SELECT layer, n, expert, row_number() OVER (PARTITION BY layer ORDER
 SKEW = f"""SELECT layer, round(2 * sum(up * n) / (16.0e0 * max(total)) - 17 / 16.0e0, 6) AS gini,
   round(-sum(CASE WHEN n > 0 THEN n / CAST(total AS DOUBLE) * ln(n / CAST(total AS DOUBLE)) ELSE 0 END) / ln(16), 6) AS entropy,
   round(sum(CASE WHEN down <= 1 THEN n ELSE 0 END) / CAST(max(total) AS DOUBLE), 6) AS decile_mass FROM ({RANKED}) GROUP BY layer"""
-REUSE = """SELECT d, layer, round(sum(hit) / count(DISTINCT token) / 4, 6) AS reuse FROM (
+#: Distances of the reuse curve.
+FAR = " UNION ALL ".join(["SELECT 1 AS d", *(f"SELECT {d}" for d in range(2, 17))])
+REUSE = f"""SELECT d, layer, round(sum(hit) / count(DISTINCT token) / 4, 6) AS reuse FROM (
   SELECT d.d, a.layer, a.token, CASE WHEN b.token IS NULL THEN 0.0e0 ELSE 1.0e0 END AS hit
-  FROM {trace} a CROSS JOIN (SELECT 1 AS d UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8) d
-  CROSS JOIN (SELECT max(token) AS last FROM {trace}) m
-  LEFT JOIN {trace} b ON b.layer = a.layer AND b.expert = a.expert AND b.token = a.token + d.d WHERE a.token + d.d <= m.last) GROUP BY d, layer"""
+  FROM {{trace}} a CROSS JOIN ({FAR}) d
+  CROSS JOIN (SELECT max(token) AS last FROM {{trace}}) m
+  LEFT JOIN {{trace}} b ON b.layer = a.layer AND b.expert = a.expert AND b.token = a.token + d.d WHERE a.token + d.d <= m.last) GROUP BY d, layer"""
 JOINT = "SELECT a.layer, a.expert AS a, b.expert AS b, count(*) AS n FROM {trace} a JOIN {trace} b ON a.token = b.token AND a.layer = b.layer AND a.expert < b.expert GROUP BY a.layer, a.expert, b.expert"
 TOKENS = "SELECT layer, count(DISTINCT token) AS tokens FROM {trace} GROUP BY layer"
 EDGES = f"SELECT j.layer, a, b, n, round(n / CAST(tokens AS DOUBLE), 6) AS weight FROM ({JOINT}) j JOIN ({TOKENS}) t ON t.layer = j.layer WHERE n / CAST(tokens AS DOUBLE) >= 0.02e0"

@@ -67,3 +67,13 @@ def test_folds_against_loops():
         assert folds.lfu(keys, c) == _slow_lfu(keys, c)
         # No order between the two: this Belady always admits, while LFU may turn a newcomer away.
         assert folds.belady(keys, c) == _slow_belady(keys, c)
+
+
+def test_reuse_curve_against_loops(spark):
+    held = {}
+    for r in catalog.queries()["route_topk"](spark, SF).collect():
+        held.setdefault((r.layer, r.token), set()).add(r.expert)
+    layers, last = {k[0] for k in held}, max(k[1] for k in held)
+    want = {(d, x): sum(len(held[x, t] & held[x, t + d]) for t in range(last - d + 1)) / (last - d + 1) / 4 for d in range(1, 17) for x in layers}
+    got = {(r.d, r.layer): float(r.reuse) for r in catalog.queries()["reuse_curve"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
