@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, settle
+from .common import among, release, settle
 
 #: Rounds double the reach of a label, so this bounds paths longer than any table has rows.
 MOST_ROUNDS = 60
 #: Links a task of a round takes at least: small graphs are not cut into more files than they have use for.
 ROUND_ROWS = 100_000
+#: Links from which on a round is written in steps.
+APART = 1_000_000
+#: Members of a mixed bucket that are compared within it; members of larger ones meet by prefixes.
+SMALL = 32
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,59 +24,84 @@ def components(links: DataFrame) -> DataFrame:
 
     Distributed union-find by alternating star contraction: each round points the neighbours of a node at the smallest
     of them (large star, then small star). Rows stay within twice the links, and rounds grow with the logarithm of the
-    longest path. Each round is written to the shared folder."""
+    longest path. Each round is written to the shared folder. In graphs of over APART links, what a round joins is written
+    too, so that both sides of a join are plain shuffles, and a node with very many links can be split among tasks."""
     edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     digest, rows = None, edges.count()
     for _ in range(MOST_ROUNDS):
+        few = -(-rows // ROUND_ROWS) or 1
+        step = settle if rows > APART else lambda x: x
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = step(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = step(large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct())
+        down = step(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, edges = edges, settle(small.union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(-(-rows // ROUND_ROWS) or 1))
-        release(before)
+        before, edges = edges, settle(small.union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(few))
+        release(before, *([low, large, down] if rows > APART else []))
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(38,0)))")).first()
         if now == digest:
             break
         digest, rows = now, now[0]
+    else:
+        raise RuntimeError(f"components have not settled after {MOST_ROUNDS} rounds")
     nodes = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def crowded(members: DataFrame) -> DataFrame:
+    """key, id, copies, pivot, many for the members (key, id, copies) of the keys that two ids or more share; copies of a
+    member that comes several times are added up. pivot is the most copied member (then the smallest id), many their number.
+
+    Most keys have one member: only rows of the others pass the Bloom filter in front of the join's shuffle."""
+    members = settle(members)
+    shared = settle(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"))
+    at = settle(among(members, shared, "key").groupBy("key", "id").agg(F.sum("copies").alias("copies")))
+    release(shared, members)
+    groups = settle(at.groupBy("key").agg(F.min(F.struct(-F.col("copies"), F.col("id")))["id"].alias("pivot"), F.count("*").alias("many")))
+    out = settle(at.join(groups, "key"))
+    release(at, groups)
+    return out
+
+
 def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], info: Callable[[DataFrame], DataFrame], near: str, prefixes: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) over the verified links among members (key, id) that share a key.
+    """(node, component) over the verified links among members (key, id, copies) that share a key.
 
-    First each bucket's most copied member (column copies, then the smallest id) is compared with the others of its
-    bucket: as many pairs as members, whatever the bucket's size, around the text that most others were edited from. Buckets whose members then lie in one component are done: no further link could change anything.
-    In the others, every member outside the bucket's largest component is compared with all members of other components
-    that it could be linked with: by prefixes, which gives (id, shingle) for ids, such that linked ids have a shingle in
-    common there, and by near, SQL over the columns that info gives for ids (id, ...), prefixed x_ and y_, which holds for every link.
-    So no bucket is capped and no link between components is lost, and pairs are made only where those bounds allow a
-    link. verify takes pairs (a, b), a < b, and returns those that are links."""
-    members = members.select("key", "id", "copies")
-    central = F.min(F.struct(-F.col("copies"), F.col("id")))["id"].alias("pivot")
-    groups = members.groupBy("key").agg(central, F.count("*").alias("n")).where("n > 1")
-    # Most keys have one member: only the others are kept.
-    crowd = settle(members.select("key", "id").join(groups, "key"))
+    First each bucket's pivot is compared with the others of its bucket: as many pairs as members, whatever the bucket's
+    size, around the text that most others were edited from. Buckets whose members then lie in one component are done:
+    no further link could change anything. In the others, every member outside the bucket's largest component is
+    compared with the members of other components that near lets through: SQL over the columns that info gives for ids
+    (id, ...), prefixed x_ and y_. Buckets of up to SMALL members are compared within themselves; members of larger ones
+    meet where their prefixes do: (id, shingle) such that linked ids have a shingle in common. So no bucket is capped, and
+    no link between components is lost that near lets through. verify takes pairs (a, b), a < b, and returns the links."""
+    crowd = crowded(members)
     star = crowd.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
     found = settle(components(verify(star)))
-    at = crowd.where("n > 2").select("key", "id")
-    at = at.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    at = crowd.where("many > 2").select("key", "id", "many").join(found.withColumnRenamed("node", "id"), "id", "left")
+    at = settle(at.select("key", "id", "many", F.coalesce("component", "id").alias("component")))
     parts = at.groupBy("key", "component").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("m", "component"))["component"].alias("major"), F.count("*").alias("parts")).where("parts > 1")
-    rows = at.join(mixed, "key").groupBy("id", "component").agg(F.max(F.col("component") != F.col("major")).alias("minor"))
-    rows = settle(rows)
-    held = info(rows.select("id"))
-    rows = settle(rows.join(held, "id"))
-    if not rows.limit(1).count():
+    mixed = settle(parts.groupBy("key").agg(F.max(F.struct("m", "component"))["component"].alias("major"), F.count("*").alias("parts")).where("parts > 1"))
+    at = settle(at.join(mixed.select("key", "major"), "key").withColumn("minor", F.expr("component <> major")).drop("major"))
+    release(crowd, mixed)
+    if not at.limit(1).count():
+        release(at)
         return found
-    first = settle(prefixes(rows.select("id")))
+    held = settle(info(at.select("id").distinct()))
     columns = [c for c in held.columns if c != "id"]
-    x = rows.where("minor").join(first, "id").select("shingle", "id", "component", *[F.col(c).alias(f"x_{c}") for c in columns])
-    y = rows.join(first, "id").select(F.col("shingle").alias("same"), F.col("id").alias("other"), F.col("component").alias("their"), *[F.col(c).alias(f"y_{c}") for c in columns])
-    pairs = x.join(y, (x["shingle"] == y["same"]) & F.expr(f"component <> their and ({near})"))
-    more = verify(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+    rows = settle(at.join(held, "id"))
+    sides = lambda rows, by: (
+        rows.where("minor").select(by, "id", "component", *[F.col(c).alias(f"x_{c}") for c in columns]),
+        rows.select(F.col(by).alias("same"), F.col("id").alias("other"), F.col("component").alias("their"), *[F.col(c).alias(f"y_{c}") for c in columns]),
+    )
+    ends = (F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    x, y = sides(rows.where(F.col("many") <= SMALL), "key")
+    pairs = x.join(y, (x["key"] == y["same"]) & F.expr(f"component <> their and ({near})")).select(*ends)
+    large = settle(rows.where(F.col("many") > SMALL).groupBy("id", "component", *columns).agg(F.max("minor").alias("minor")))
+    if large.limit(1).count():
+        first = settle(prefixes(large.select("id")))
+        x, y = sides(large.join(first, "id"), "shingle")
+        pairs = pairs.union(x.join(y, (x["shingle"] == y["same"]) & F.expr(f"component <> their and ({near})")).select(*ends))
+    more = verify(pairs.distinct())
     # New links join components: only their graph is searched.
     for side in "ab":
         more = more.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
@@ -81,5 +110,5 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], i
     of = moved.select(F.col("node").alias("component"), F.col("component").alias("now"))
     whole = found.join(of, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
     out = settle(whole.union(moved.join(found.select("node"), "node", "left_anti")))
-    release(crowd, found, rows, first, moved)
+    release(at, found, held, rows, large, moved)
     return out
