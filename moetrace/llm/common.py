@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if path:
         return path
     where = spark.sparkContext.getCheckpointDir()
+    if not where and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
     if not where:
         where = tempfile.mkdtemp(prefix="moetrace-")
         spark.sparkContext.setCheckpointDir(where)
@@ -63,7 +65,16 @@ def release(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Batches of at most so many rows from now on. Results are lazy, so the setting stays, and it only ever falls: a later
+    operator never gives an earlier one's plan larger batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names, which an operator is about to add."""
+    return df.drop(*[c for c in df.columns if c in names])
 
 
 class Shared:
@@ -75,6 +86,9 @@ class Shared:
     def __getstate__(self) -> dict:
         return {"_held": self._held, "_value": None}
 
+    def unpersist(self) -> None:
+        self._held.unpersist()
+
     @property
     def value(self) -> object:
         if self._value is None:

@@ -3,8 +3,9 @@
 Documents are tokenised; longer ones are cut into whole sequences and a shorter first piece. Over the histogram of piece
 lengths (as many rows as a sequence has tokens, whatever the input) a configuration linear program is solved by
 multiplicative weights: the pricing problem, the most valuable filling of one sequence, is an unbounded knapsack solved
-by dynamic programming. The fractional solution is rounded down, what is left goes by best fit decreasing, and the
-result is kept if it takes no more sequences than best fit alone. Pieces find their places by their rank among the
+by dynamic programming. Rounds end when every length is covered; the weights also prove a lower bound. The fractional
+solution is rounded down, what is left goes by best fit decreasing, and the result is kept if it takes no more sequences
+than best fit alone; solve reports the bound, and what share of the pieces the programme placed. Pieces find their places by their rank among the
 pieces of their length.
 
 Defined results: a null text counts as empty; an empty text is one piece of the separator alone; rows that share a
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,8 @@ from tokenizers import Tokenizer
 from .common import Shared, blocks, number_rows, settle, small_batches
 
 CAPACITY = 2048
-#: Rounds of multiplicative weights and their rate.
-ROUNDS, RATE = 150, 0.5
+#: Rounds of multiplicative weights at most, the share of a length's pieces that a round may cover, and how fast covered lengths lose weight.
+ROUNDS, RATE, SLOPE = 1500, 0.25, 4.0
 SEPARATOR = b"\0\0\0\0"
 # Fixed value: how the byte-level vocabulary's tokenizer splits a text before it merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,36 +59,40 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     """doc_id, piece, start, length, ids_crc32; tokenizer: the vocabulary file's path, the same on every executor."""
     small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = sys.__dict__.setdefault("_moetrace_ids", {})  # by the Python worker, from task to task
         if tokenizer not in kept:
             kept[tokenizer] = _Ids(tokenizer)
         ids = kept[tokenizer].ids
         for x in batches:
             out = []
-            for doc_id, text in zip(x["doc_id"], x["text"], strict=True):
-                raw = ids(text or "") + SEPARATOR
+            for at, text in enumerate(x["text"]):
+                raw = ids(text.as_py() or "") + SEPARATOR
                 n = len(raw) // 4
                 first = (n - 1) % capacity + 1
                 starts = [0, *range(first, n, capacity)]
                 for i, start in enumerate(starts):
                     end = first if not i else start + capacity
-                    out.append((doc_id, i, start, end - start, zlib.crc32(raw[4 * start : 4 * end])))
-            y = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            y["doc_id"] = y["doc_id"].astype("Int64")
-            yield y
+                    out.append((at, i, start, end - start, zlib.crc32(raw[4 * start : 4 * end])))
+            # doc_id goes past as it came: pandas would make doubles of longs beside a null.
+            of, piece, *rest = ([r[i] for r in out] for i in range(5))
+            made = [x["doc_id"].take(pa.array(of, pa.int32())), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in rest]]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _best_filling(value: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each size stands in the most valuable filling of one sequence."""
+def _best_filling(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """How often each size stands in the most valuable filling of one sequence, and its value."""
+    # A size no dearer than a smaller one is never taken.
+    front = np.flatnonzero(value > np.concatenate(([0.0], np.maximum.accumulate(value)[:-1])))
+    own, worth = sizes[front], value[front]
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+    upto = np.searchsorted(own, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
         if k := upto[c]:
-            gain = best[c - sizes[:k]] + value[:k]
+            gain = best[c - own[:k]] + worth[:k]
             if gain[i := int(gain.argmax())] > best[c] + 1e-15:
                 best[c], choice[c] = gain[i], i
     out, c = np.zeros(len(sizes), np.int64), capacity
@@ -94,9 +100,9 @@ def _best_filling(value: np.ndarray, sizes: np.ndarray, capacity: int) -> np.nda
         if choice[c] < 0:
             c -= 1
         else:
-            out[choice[c]] += 1
-            c -= sizes[choice[c]]
-    return out
+            out[front[choice[c]]] += 1
+            c -= own[choice[c]]
+    return out, float(best[capacity])
 
 
 Groups = list[tuple[dict[int, int], int]]
@@ -132,37 +138,66 @@ def best_fit(counts: dict[int, int], capacity: int) -> Groups:
     return [x for at in room.values() for x in at]
 
 
+class Solved:
+    """A solution of the configuration programme: fillings with how often each is used (fractions), and the bound that the
+    best weights met on the way prove: no packing takes fewer sequences."""
+
+    def __init__(self, counts: dict[int, int], capacity: int, rounds: int = ROUNDS):
+        self.sizes = np.array(sorted(counts))
+        self.need = np.array([counts[s] for s in self.sizes], float)
+        self.bound, self.rounds, self.used = float(self.need @ self.sizes) / capacity, 0, {}
+        covered, weight = np.zeros(len(self.sizes)), self.sizes / capacity
+        while self.rounds < rounds and len(self.sizes) and covered.min() < 1:
+            fill, worth = _best_filling(weight, self.sizes, capacity)
+            self.bound = max(self.bound, float(self.need @ weight) / worth)
+            at = np.flatnonzero(fill)
+            step = RATE * (self.need[at] / fill[at]).min()
+            self.used[tuple(fill)] = self.used.get(tuple(fill), 0.0) + step
+            covered[at] += step * fill[at] / self.need[at]
+            # Lengths that are covered lose weight, so that the others enter the fillings.
+            weight = self.sizes / capacity * np.exp(-SLOPE * np.maximum(0, covered - covered.min()))
+            self.rounds += 1
+        self.covered = covered
+
+    @property
+    def value(self) -> float:
+        """Sequences of the fractional solution, scaled so that every length is covered; infinite before that is so."""
+        least = self.covered.min() if len(self.covered) else 1.0
+        return sum(self.used.values()) / least if least > 0 else float("inf")
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Groups:
     """Fillings and how often each is used; every piece of the histogram is placed once."""
+    return solve(counts, capacity, rounds)[0]
+
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[Groups, dict[str, float]]:
+    """The plan, and a report of it: sequences, the programme's bound and value, its rounds, the share of pieces that its
+    rounded fillings place (0 where plain best fit took fewer sequences and was kept), and what best fit alone takes."""
     counts = {k: n for k, n in counts.items() if n}
     plain = best_fit(counts, capacity)
     if not counts:
-        return plain
-    sizes = np.array(sorted(counts))
-    need = np.array([counts[s] for s in sizes], float)
-    weight = np.ones(len(sizes)) * sizes / capacity / need * need.mean()
-    found: dict[tuple[int, ...], float] = {}
-    for _ in range(rounds):
-        fill = _best_filling(weight, sizes, capacity)
-        used = np.flatnonzero(fill)
-        if not len(used):
-            break
-        step = RATE * (need[used] / fill[used]).min()
-        found[tuple(fill)] = found.get(tuple(fill), 0) + step
-        weight[used] *= np.exp(-RATE * step * fill[used] / need[used] * 2)
-    cover = sum(np.array(f) * x for f, x in found.items())
-    scale = 1 / max(1e-9, (cover / need).max())
-    left, out = need.astype(np.int64), []
-    # Fullest fillings first; what scaling left over is taken as far as whole copies fit.
-    for f, x in sorted(found.items(), key=lambda y: -(np.array(y[0]) @ sizes)):
-        f = np.array(f)
-        used = np.flatnonzero(f)
-        times = min(int((left[used] // f[used]).min()), int(np.ceil(x * scale)))
-        if times > 0 and f @ sizes >= 0.999 * capacity:
-            left[used] -= times * f[used]
-            out.append(({int(sizes[i]): int(f[i]) for i in used}, times))
+        return plain, {"sequences": 0, "bound": 0.0, "value": 0.0, "rounds": 0, "share": 0.0, "best_fit": 0}
+    solved = Solved(counts, capacity, rounds)
+    sizes, left, out = solved.sizes, solved.need.astype(np.int64), []
+    scale = 1 / max(1.0, solved.covered.max())
+    # Rounded down, fullest fillings first, never beyond what is left; then whole copies of fillings that still fit.
+    order = sorted(solved.used.items(), key=lambda x: -(np.array(x[0]) @ sizes))
+    for whole in (False, True):
+        for f, x in order:
+            f = np.array(f)
+            at = np.flatnonzero(f)
+            times = int((left[at] // f[at]).min())
+            times = times if whole else min(times, int(x * scale))
+            if times > 0 and (not whole or f @ sizes == capacity):
+                left[at] -= times * f[at]
+                out.append(({int(sizes[i]): int(f[i]) for i in at}, times))
+    placed = 1 - left.sum() / solved.need.sum()
     out += best_fit({int(s): int(n) for s, n in zip(sizes, left, strict=True) if n}, capacity)
-    return min((out, plain), key=lambda groups: sum(times for _, times in groups))
+    number = lambda groups: sum(times for _, times in groups)
+    mine = number(out) <= number(plain)
+    groups = out if mine else plain
+    return groups, {"sequences": number(groups), "bound": solved.bound, "value": solved.value, "rounds": solved.rounds, "share": float(placed) if mine else 0.0, "best_fit": number(plain)}
 
 
 class Places:
