@@ -7,7 +7,8 @@ their beginnings are features; those that labelled rows show to go with the labe
 a logistic curve fitted on the same rows turns the weights found in a text into a score.
 
 Defined results: null and empty texts score as texts without any feature; without labels of both kinds every score is
-the share of toxic labels, or 0; repeated labels of a document count each time."""
+the share of toxic labels, or 0; repeated labels of a document count once a value; a column score is replaced. At most
+2 * FIT_ROWS labelled documents are learned from, and a lexicon holds at most MOST_FEATURES features, the strongest."""
 
 from __future__ import annotations
 
@@ -34,7 +35,6 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t",
 SEPARATORS = " .-_*'~^,/\\"
 #: Costs in natural logarithms: reading a symbol as a letter, dropping a separator, another symbol or a digit, dropping a repeated letter (in runs of three or more, else).
 AS_LETTER, DROP, DROP_SYMBOL, DROP_DIGIT, DROP_REPEAT, DROP_DOUBLE = 0.5, 0.3, 2.0, 8.0, 0.1, 6.0
-BEAM = 48
 
 K = len(ALPHABET) + 2  # 0 is a word's edge, the last any other letter
 CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
@@ -79,7 +79,8 @@ class Decoder:
 
     def restore(self, token: str) -> str:
         """The likeliest word behind a lower-case token."""
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # A state is the last two letters; what was read before them is kept as linked pairs.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i, c in enumerate(token):
             steps: list[tuple[str, float]] = []
             if c.isalpha():
@@ -90,16 +91,21 @@ class Decoder:
             else:
                 steps += [(x, AS_LETTER) for x in LEET.get(c, "")]
                 steps.append(("", DROP if c in SEPARATORS else DROP_DIGIT if c.isdigit() else DROP_SYMBOL))
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (s, out) in states.items():
                 for x, cost in steps:
                     k = CODE.get(x, K - 1) if x else 0
                     to = (b, k) if x else (a, b)
                     now = s - cost + (float(self.log[a, b, k]) if x else 0.0)
                     if to not in after or after[to][0] < now:
-                        after[to] = (now, out + x)
-            states = dict(sorted(after.items(), key=lambda y: -y[1][0])[:BEAM])
-        return max(((s + float(self.log[a, b, 0]), out) for (a, b), (s, out) in states.items()), default=(0.0, ""))[1]
+                        after[to] = (now, (out, x) if x else out)
+            states = after
+        held = max(((s + float(self.log[a, b, 0]), a, b) for (a, b), (s, _) in states.items()), default=None)
+        out, letters = states[held[1:]][1] if held else None, []
+        while out:
+            out, x = out
+            letters.append(x)
+        return "".join(reversed(letters))
 
     def word(self, token: str) -> str:
         """What a lower-case token says: its letters, restored if they look disguised."""
@@ -162,7 +168,7 @@ def fit(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Score
     spark = docs.sparkSession
     small_batches(spark)
     decoder = Decoder(count_trigrams(docs))
-    labelled = labelled.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").alias("_y"))
+    labelled = labelled.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("_y")).distinct()
     n = {r["_y"]: r["count"] for r in labelled.groupBy("_y").count().collect()}
     if len(n) < 2:
         return Scorer(decoder, {}, 0.0, 20.0 if 1 in n else -20.0)
