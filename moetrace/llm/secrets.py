@@ -9,7 +9,10 @@ Base64 is also read across line breaks. Compressed bytes are inflated as a strea
 searched in overlapping windows, so that memory does not grow with what a text unfolds to; only an unbroken encoded run
 is held whole. Bytes that are not UTF-8 (or UTF-16 with its mark) are read as Latin-1.
 
-Defined results: null and empty texts have no spans; spans are code points, end exclusive."""
+A run of base64 that begins inside a longer run (behind a path, say) is read from each of the first four characters on.
+
+Defined results: null and empty texts have no spans; spans are code points, end exclusive; columns base and spans are
+replaced."""
 
 from __future__ import annotations
 
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, without
 
 KINDS = ("assign", "access", "hex")
 #: Characters searched at once in unwrapped bytes, those that the next window repeats, and bytes inflated at once.
@@ -51,6 +54,9 @@ WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK.pattern}[
 RUN = re.compile(rf"{WRAPPED.pattern}|[A-Za-z0-9+/_=%\\&#;{{}}-]++")
 PACKED_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
 
+#: Bytes of a layer that is worth a look: what the kinds begin with, encoded runs, or the mark of a compressed stream.
+LIKELY = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|[A-Za-z0-9+/_-]{24}|(?:%[0-9A-Fa-f]{2}){4}|\\[uUx][0-9A-Fa-f]{2}|&#|^\x1f\x8b|^\x78[\x01\x5e\x9c\xda]")
+
 Span = tuple[int, int, str]
 
 
@@ -283,10 +289,13 @@ def _unwrap(layer: _Layer) -> Iterator[_Layer]:
     if "\\" in text or "&#" in text:
         yield from _rewrite(layer, [(m.start(), m.end(), _unescape(m.group())) for m in ESCAPE.finditer(text)])
     found = [(m.start(), m.end(), m.group()) for m in BASE64.finditer(text) if len(m.group().rstrip("=")) % 4 != 1]
+    shifted = [(m.start(), m.end(), m.group()) for m in BASE64.finditer(text) if len(m.group()) >= 24]
     if "\n" in text or "\r" in text or "\\n" in text:
         found += [x for m in WRAPPED.finditer(text) for x in _wrapped(m)]
     raws = itertools.chain(((s, e, _unbase64(word)) for s, e, word in found), ((m.start(), m.end(), bytes.fromhex(m.group())) for m in PACKED_HEX.finditer(text)))
-    for start, end, raw in raws:
+    # Three in four runs that are read from inside give noise: only what may hold something is a layer.
+    inside = ((s + k, e, raw) for s, e, word in shifted for k in (1, 2, 3) if LIKELY.search(raw := _unbase64(word[k:])))
+    for start, end, raw in itertools.chain(raws, inside):
         s, e = layer.span(start, end)
         for new in _texts(raw):
             yield _Layer(new, [s] * len(new), [e] * len(new))
@@ -326,4 +335,5 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         as_rows = lambda x: [{"start": s, "end": e, "kind": k} for s, e, k in sorted(x, key=lambda y: (y[0], KINDS.index(y[2]), y[1]))]
         return pd.DataFrame({"base": [as_rows(x) for x in base], "spans": [as_rows(x) for x in full]})
 
+    docs = without(docs, "base", "spans")
     return docs.withColumn("_found", find("text")).select(*docs.columns, "_found.*")
