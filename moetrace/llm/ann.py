@@ -3,7 +3,8 @@
 Coarse centroids and the codebooks of the residuals' parts are fitted on a bounded sample; every vector is indexed in its
 nearest cell with its codes. A query probes its nearest cells; in each, asymmetric distance tables rank the codes, and
 the best are reranked by the exact cosine in double precision. Cells are cut into blocks of bounded size, so a cell that
-holds a third of all vectors is searched by many tasks, each giving its own k best, of which the k best overall remain.
+holds a third of all vectors is searched by many tasks, each giving its own k best, of which the k best overall remain;
+the queries of a cell are cut into blocks too, each of which meets every block of the cell's vectors.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part; ties go to the smaller vec_id; a row never finds itself (its own vec_id); with k candidates or fewer, all come;
@@ -22,6 +23,8 @@ from .common import Shared, settle, small_batches
 
 #: Rows the centroids and codebooks are fitted on at most; rows of a block; candidates reranked exactly in a block.
 FIT_ROWS, BLOCK_ROWS, RERANK = 20_000, 4096, 192
+#: Queries that meet a block at once, about.
+ASKED = 8192
 #: A query probes as many cells as this share of sampled neighbours needs, and cells until they hold LEAST vectors.
 NEEDED, LEAST = 0.98, 2000
 PARTS, CODES = 16, 256
@@ -117,15 +120,18 @@ def search(vectors: DataFrame, asked: Column, k: int = 5, vector: str = "embeddi
     held = np.array([counts.get(i, 0) for i in range(cells)])
     parts = np.maximum(1, -(-held // BLOCK_ROWS))
 
+    asked_parts = max(1, -(-at.where(asked).count() // ASKED))
+
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             v = np.stack(x["_v"].to_numpy()).astype(float)
             out = [(q, vec, int(c), int(b)) for q, vec, own in zip(x["vec_id"], x["_v"], index.value.probes(v, held), strict=True) for c in own for b in range(parts[c])]
-            yield pd.DataFrame(out, columns=["query_id", "_q", "cell", "block"])
+            yield pd.DataFrame([(*r, r[0] % asked_parts) for r in out], columns=["query_id", "_q", "cell", "block", "part"])
 
     many = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell") + 1)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), many).cast("int"))
-    asking = at.where(asked).select("vec_id", "_v").distinct().mapInPandas(probe, "query_id long, _q array<double>, cell int, block int")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(asked_parts - 1))))
+    asking = at.where(asked).select("vec_id", "_v").distinct().mapInPandas(probe, "query_id long, _q array<double>, cell int, block int, part int")
 
     def rank(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -146,6 +152,6 @@ def search(vectors: DataFrame, asked: Column, k: int = 5, vector: str = "embeddi
                     out.append((q, ids[best][i], exact[i]))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = asking.groupBy("cell", "block").cogroup(rows.groupBy("cell", "block")).applyInPandas(rank, "query_id long, vec_id long, score double")
+    found = asking.groupBy("cell", "block", "part").cogroup(rows.groupBy("cell", "block", "part")).applyInPandas(rank, "query_id long, vec_id long, score double")
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

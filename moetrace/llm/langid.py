@@ -3,11 +3,12 @@
 Every learned language has a codeword; each bit of it is predicted by a binary classifier over hashed character n-grams
 (n = 1 to 4, words joined by one space), a naive Bayes ratio between the mean n-gram distributions of the languages on
 either side of the bit. Decoding adds, over the bits, a logistic loss of the margin against the codeword's bit, weighted
-by how well the bit's classifier separated the fitting rows, and takes the codeword of least loss. A row whose two best
-codewords are nearly as near is flagged ambiguous.
+by the least margin that the bit's classifier gives to a language's mean distribution, and takes the codeword of least
+loss. A row whose two best codewords are nearly as near is flagged ambiguous.
 
 Defined results: null texts and texts without a letter are `und` with score 0; with nothing to learn from, every row is
-`und`; rows with a null language are never learned from."""
+`und`; rows with a null language are never learned from; columns lang_pred, score and ambiguous are replaced; ties go to
+the first language by name. Rows that repeat a text are drawn one by one where they have ids of their own."""
 
 from __future__ import annotations
 
@@ -18,11 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, small_batches
+from .common import Shared, small_batches, without
 
 #: Size of the hashed n-gram space, and the n.
 SPACE, GRAMS = 1 << 16, (1, 2, 3, 4)
-#: Rows a language is fitted on at most: a sample by a hash of the text.
+#: Rows a language is fitted on at most: a sample by a hash of doc_id and text.
 FIT_ROWS = 3000
 #: Codewords closer than this share of the best loss are ambiguous.
 AMBIGUOUS = 0.05
@@ -117,12 +118,13 @@ class Model:
 def fit(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> Model:
     """A model of the rows of docs (text, lang) where learn holds: up to about fit_rows a language, whole texts."""
     small_batches(docs.sparkSession)
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    own = [c for c in ("doc_id", "text") if c in docs.columns]
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", *own)
     shares = {x["lang"]: min(1.0, fit_rows / x["count"]) for x in rows.groupBy("lang").count().collect()}
     if not shares:
         return Model([], np.zeros((0, SPACE)))
     share = F.create_map(*[F.lit(v) for kv in shares.items() for v in kv])[F.col("lang")]
-    part = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1_000_000)) < share * 1_000_000)
+    part = rows.where(F.pmod(F.xxhash64(F.lit("fit"), *own), F.lit(1_000_000)) < share * 1_000_000).select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[str, np.ndarray] = {}
@@ -152,4 +154,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def say(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([held.value.predict(t) for t in text], columns=["lang_pred", "score", "ambiguous"])
 
+    docs = without(docs, "lang_pred", "score", "ambiguous")
     return docs.withColumn("_said", say("text")).select(*docs.columns, "_said.*")

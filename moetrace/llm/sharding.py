@@ -6,7 +6,7 @@ them. Each block is permuted locally and cut by its row of the matrix, the parts
 permuted again. Everything is fixed by the seed and the rows, so a lost executor's part comes out the same again.
 
 Defined results: sizes of shards differ by one at most, the first N mod S ones being larger; null texts have size 8 and
-the checksum of the empty text; rows equal in all of doc_id and text are interchangeable; empty tables have no rows."""
+the checksum of the empty text; rows equal in all of doc_id and text are interchangeable; empty tables have no rows; write_shards replaces columns size, text_crc32, shard and slot."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import blocks, number_rows, settle
+from .common import blocks, number_rows, settle, without
 
 
 def draw(rng: np.random.Generator, good: int, total: int, n: int) -> int:
@@ -82,5 +82,6 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, seed: int = 11) -> Data
 def write_shards(docs: DataFrame, path: str, n_shards: int = 24, seed: int = 11) -> None:
     """Write the documents as Parquet under path, a folder per shard, with their slots; files are sorted by slot."""
     size, crc = digest(F.col("text"))
+    docs = without(docs, "size", "text_crc32", "shard", "slot")
     placed = assign(docs.withColumns({"size": size, "text_crc32": crc, "_text": F.xxhash64("text")}), n_shards, ["doc_id", "size", "text_crc32", "_text"], seed)
     placed.drop("_text").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
