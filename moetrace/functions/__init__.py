@@ -1 +1 @@
-"""functions of the engine."""
+"""Scalar functions of the engine, as columns."""

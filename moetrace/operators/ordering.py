@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
@@ -47,6 +47,35 @@ def order_layers(experts: DataFrame, edges: DataFrame) -> DataFrame:
     return at.applyInPandas(run, "layer int, expert int, place int")
 
 
+def capture_ratio(order: DataFrame, edges: DataFrame, window: int) -> DataFrame:
+    """layer, captured: the share of edge weight between experts whose gap on disk is at most window bytes: from the end of
+    the earlier one's blocks to the start of the later one. order (layer, expert, place, len); 0 for a layer without weight."""
+    padded = (F.ceil(F.col("len") / BLOCK) * BLOCK).cast("long")
+    at = order.withColumn("upto", F.sum(padded).over(Window.partitionBy("layer").orderBy("place"))).select("layer", "expert", (F.col("upto") - padded).alias("off"), "upto")
+    both = edges.select("layer", "a", "b", "weight")
+    for side in "ab":
+        both = both.join(at.select("layer", F.col("expert").alias(side), F.col("off").alias(f"off_{side}"), F.col("upto").alias(f"upto_{side}")), ["layer", side])
+    gap = F.greatest("off_a", "off_b") - F.least("upto_a", "upto_b")
+    share = F.sum(F.when(gap <= window, F.col("weight")).otherwise(0.0)) / F.nullif(F.sum("weight"), F.lit(0.0))
+    return both.groupBy("layer").agg(F.round(F.coalesce(share, F.lit(0.0)), 6).alias("captured"))
+
+
+def is_permutation(order: DataFrame, experts: DataFrame) -> bool:
+    """Whether an order has each expert (layer, expert) once."""
+    a, b = order.select("layer", "expert"), experts.select("layer", "expert")
+    return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
+
+
+def profile(trace: DataFrame, declared: DataFrame) -> DataFrame:
+    """layer, expert, hits, tokens: how often each expert is used and how many tokens its layer has seen; declared experts
+    (layer, expert) that never were are there with 0, and so are used ones that were not declared."""
+    hits = trace.groupBy("layer", "expert").agg(F.countDistinct("token").alias("hits"))
+    tokens = trace.groupBy("layer").agg(F.countDistinct("token").alias("tokens"))
+    every = declared.select("layer", "expert").union(hits.select("layer", "expert")).distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return every.join(hits, ["layer", "expert"], "left").join(tokens, "layer", "left").select("layer", "expert", zero("hits"), zero("tokens"))
+
+
 def capped_plan(wants: DataFrame, by: list[str], gap: int = GAP, cap: int = CAP, coalesce: bool = True) -> DataFrame:
     """Transfers of each want set (by..., off, len): from the left, an entry joins the open transfer if the gap between
     them is at most gap and the transfer stays within cap bytes; an entry larger than cap goes alone. Lengths are padded

@@ -71,8 +71,19 @@ def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.withColumn("len", F.expr("cast(1000 + (expert * 7919L + layer * 104729L) % 60000 as bigint)"))
 
 
-def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("idx", "text"))
+def place_wants(chosen: DataFrame, layout: DataFrame) -> DataFrame:
+    """token, layer, off, len of the distinct experts chosen (token, layer, expert); fails where the layout (layer, expert,
+    pos, len) lacks one."""
+    padded = F.expr("cast((len + 4095) div 4096 * 4096 as bigint)")
+    # The layout is as long as the model has experts, whatever the trace's length.
+    at = layout.withColumn("off", F.sum(padded).over(Window.orderBy("pos")) - padded).select("layer", "expert", "off", "len")
+    at = chosen.select("token", "layer", "expert").distinct().join(at, ["layer", "expert"], "left")
+    gone = F.raise_error(F.concat_ws(" ", F.lit("not in the layout: layer"), F.col("layer").cast("string"), F.lit("expert"), F.col("expert").cast("string"))).cast("long")
+    return at.select("token", "layer", F.when(F.col("off").isNull(), gone).otherwise(F.col("off")).alias("off"), "len")
+
+
+def wants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place_wants(trace(spark, sf_dir), layout(spark, sf_dir))
 
 
 #: The same relations in SQL of the checking engine.
@@ -89,7 +100,8 @@ SQL = {
     "log_gaps": "SELECT i, unnest(generate_series(prev + 1, i - 1)) AS j FROM (SELECT i, lag(i) OVER (PARTITION BY key ORDER BY i) AS prev FROM log) WHERE i - prev > 1",
     "baskets": "SELECT DISTINCT l_orderkey AS token, CAST(l_suppkey % 64 AS INT) AS expert FROM lineitem",
     "layout": "SELECT CAST(id // 16 AS INT) AS layer, CAST(id % 16 AS INT) AS expert, id AS pos, CAST(1000 + ((id % 16) * 7919 + (id // 16) * 104729) % 60000 AS BIGINT) AS len FROM (SELECT unnest(generate_series(0, 63)) AS id)",
-    "paragraphs": "SELECT doc_id, CAST(i - 1 AS INT) AS idx, ls[i] AS text FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))",
+    "wants": """SELECT DISTINCT t.token, t.layer, o.off, o.len FROM trace t JOIN (
+        SELECT layer, expert, len, CAST(sum((len + 4095) // 4096 * 4096) OVER (ORDER BY pos) - (len + 4095) // 4096 * 4096 AS BIGINT) AS off FROM layout) o ON o.layer = t.layer AND o.expert = t.expert""",
 }
-NEEDS = {"tagged": ["trace"], "accesses": ["trace"], "gaps": ["trace", "accesses"], "log_gaps": ["log"]}
-BUILD = {"trace": trace, "tagged": tagged, "accesses": accesses, "log": log, "gaps": gaps, "log_gaps": lambda s, d: gaps(s, d, "log"), "baskets": baskets, "layout": layout, "paragraphs": paragraphs}
+NEEDS = {"wants": ["trace", "layout"], "tagged": ["trace"], "accesses": ["trace"], "gaps": ["trace", "accesses"], "log_gaps": ["log"]}
+BUILD = {"trace": trace, "tagged": tagged, "accesses": accesses, "log": log, "gaps": gaps, "log_gaps": lambda s, d: gaps(s, d, "log"), "baskets": baskets, "layout": layout, "wants": wants}

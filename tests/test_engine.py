@@ -21,7 +21,7 @@ def _plain(df):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "events", "lineitem"):
+    for t in ("documents", "embeddings", "events", "lineitem", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
