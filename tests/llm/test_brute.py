@@ -26,20 +26,20 @@ def _root(parent, x):
 # Lines
 
 
-def _line_set(line, chosen=True):
+def _line_sets(line):
+    """The chosen set and that of all positions, None where the line is not of that kind."""
     low = line.lower()
-    if chosen:
-        own = {low[m.start() + 1 : m.start() + 13] for m in re.finditer(r"[ \t05qxzj/+_](?=.{12})", low, re.DOTALL)}
-        if len(own) >= lines.FEW and len(own) * lines.SPARSE >= len(low):
-            return "chosen", own
-    return "all", {low[i : i + 12] for i in range(len(low) - 11)} if len(low) >= 12 else {low}
+    own = {low[m.start() + 1 : m.start() + 13] for m in re.finditer(r"[ \t05qxzj/+_](?=.{12})", low, re.DOTALL)}
+    whole = {low[i : i + 12] for i in range(len(low) - 11)} if len(low) >= 12 else {low}
+    few = len(own) < lines.FEW or len(own) * lines.SPARSE < len(low)
+    return own if len(own) >= lines.LEAST and len(own) * lines.DENSE >= len(low) else None, whole if few else None
 
 
 def _near_lines(a, b):
-    (ka, x), (kb, y) = _line_set(a), _line_set(b)
-    if ka != kb:
-        x, y = _line_set(a, False)[1], _line_set(b, False)[1]
-    return 100 * len(x & y) >= lines.PERCENT * len(x | y)
+    (ca, x), (cb, y) = _line_sets(a), _line_sets(b)
+    if x is None or y is None:
+        x, y = ca, cb
+    return x is not None and y is not None and 100 * len(x & y) >= lines.PERCENT * len(x | y)
 
 
 def _brute_lines(rows):
