@@ -1,17 +1,19 @@
 """Caches that hold entries of different sizes, as folds over one access log: a task for each (policy, capacity).
 
-A fold depends on the order of its whole log, so one log is one task's work; logs and capacities run side by side.
+A fold depends on the order of its whole log, so one log is one task's work; logs and capacities run side by side. The
+log reaches a fold in order, a packed stretch at a time, so a task holds what its cache holds and one stretch.
 Every policy counts hits, misses, evictions and the bytes it had to read."""
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import Counter, OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LATENCY_S, BANDWIDTH = 100e-6, 5.0e9
@@ -34,26 +36,31 @@ class Sketch:
 
     def __init__(self, universe: int = 4096):
         self.width = 1 << (max(64, universe) - 1).bit_length()
-        self.rows = np.zeros((len(SEEDS), self.width), np.uint8)
+        # One row after the other: single counters are reached faster here than in an array.
+        self.rows = bytearray(len(SEEDS) * self.width)
         self.age, self.limit, self._at = 0, 10, {}
 
-    def _cells(self, key: int) -> np.ndarray:
+    def _cells(self, key: int) -> list[int]:
         if key not in self._at:
-            self._at[key] = np.array([_splitmix(key ^ s) & (self.width - 1) for s in SEEDS])
+            self._at[key] = [i * self.width + (_splitmix(key ^ s) & (self.width - 1)) for i, s in enumerate(SEEDS)]
         return self._at[key]
 
     def add(self, key: int) -> None:
-        at = (np.arange(len(SEEDS)), self._cells(key))
-        now = self.rows[at]
-        if (now < MOST).any():
-            self.rows[at] = np.minimum(now + 1, MOST)
+        rows, more = self.rows, False
+        for c in self._cells(key):
+            if rows[c] < MOST:
+                rows[c] += 1
+                more = True
+        if more:
             self.age += 1
             if self.age >= self.limit:
-                self.rows >>= 1
+                self.rows = bytearray(np.frombuffer(rows, np.uint8) >> 1)
                 self.age //= 2
 
     def count(self, key: int) -> int:
-        return int(self.rows[np.arange(len(SEEDS)), self._cells(key)].min())
+        a, b, c, d = self._cells(key)
+        rows = self.rows
+        return min(rows[a], rows[b], rows[c], rows[d])
 
 
 class Lru:
@@ -84,6 +91,10 @@ class Ranked:
     def put(self, key: int, rank: tuple) -> None:
         self.rank[key] = rank
         heapq.heappush(self.heap, (rank, key))
+        # Superseded entries never outnumber the held keys for long: the heap grows with the cache, not with the log.
+        if len(self.heap) > 2 * len(self.rank) + 64:
+            self.heap = [(r, k) for k, r in self.rank.items()]
+            heapq.heapify(self.heap)
 
     def lowest(self) -> int:
         while self.rank.get(self.heap[0][1]) != self.heap[0][0]:
@@ -300,17 +311,89 @@ def rates(out: dict[str, int], bytes_in: int = 0, bytes_out: int = 0) -> dict[st
     return {"hit_rate": out["hits"] / n if n else 0.0, "bytes_per_lookup": out["bytes_read"] / n if n else 0.0, "churn": bytes_out / bytes_in if bytes_in else 0.0}
 
 
+#: Accesses of a packed stretch of the log.
+STRETCH = 1 << 16
+# Of a key never used again, and of one used next where the log has no place.
+NEVER, LAST = 2**63 - 1, 2**63 - 2
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted accesses (part, key, size, after) as stretches: the distinct (key, size), which of them each access is, and
+    after. Fails on an access without key or size."""
+    held: list[np.ndarray] = []
+    part = seq = n = 0
+
+    def out() -> pa.RecordBatch:
+        nonlocal held, seq
+        rows, held = np.concatenate(held, axis=1), []
+        own, at = np.unique(rows[:2], axis=1, return_inverse=True)
+        at, seq = at.reshape(-1).astype(np.uint8 if own.shape[1] <= 256 else np.uint32), seq + 1
+        made = [[part], [seq], [own[0].tobytes()], [own[1].tobytes()], [_packed(at)], [_packed(rows[2])]]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["part", "seq", "keys", "sizes", "which", "after"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part, rows = b["part"][0].as_py(), np.stack([b[c].cast(pa.int64()).to_numpy(zero_copy_only=True) for c in ("key", "size", "after")])
+        while rows.shape[1]:
+            now, rows = rows[:, : STRETCH - n], rows[:, STRETCH - n :]
+            held.append(now)
+            n += now.shape[1]
+            if n == STRETCH:
+                yield out()
+                n = 0
+    if held:
+        yield out()
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Results by (policy, capacity) of stretches in order, one group after the other."""
+    group = cache = None
+    hits = misses = read = 0
+
+    def out() -> pa.RecordBatch:
+        made = {"policy": [group[0]], "capacity": [group[1]], "hits": [hits], "misses": [misses], "bytes_read": [read], "evictions": [cache.evicted]}
+        return pa.RecordBatch.from_pydict(made, pa.schema([("policy", pa.string()), *[(c, pa.int64()) for c in list(made)[1:]]]))
+
+    for b in batches:
+        for r in b.to_pylist():
+            if (r["policy"], r["capacity"]) != group:
+                if group:
+                    yield out()
+                group, hits, misses, read = (r["policy"], r["capacity"]), 0, 0, 0
+                cache = POLICIES[group[0]](group[1], [])
+            keys, sizes = (np.frombuffer(r[c], np.int64) for c in ("keys", "sizes"))
+            which = np.frombuffer(zlib.decompress(r["which"]), np.uint8 if len(keys) <= 256 else np.uint32)
+            if isinstance(cache, Belady):
+                cache.after = np.frombuffer(zlib.decompress(r["after"]), np.int64).tolist()
+            for i, (key, size) in enumerate(zip(keys[which].tolist(), sizes[which].tolist(), strict=True)):
+                if cache.access(i, key, size):
+                    hits += 1
+                else:
+                    misses += 1
+                    read += size
+    if group:
+        yield out()
+
+
 def sweep(log: DataFrame, shares: tuple[float, ...], policies: tuple[str, ...] = tuple(POLICIES)) -> DataFrame:
-    """(policy, capacity, hits, misses, bytes_read, evictions) of a log (i, key, size); capacities are shares of the
-    bytes of all distinct keys."""
+    """(policy, capacity, hits, misses, bytes_read, evictions) of a log (i, key, size) in the order of i, then key;
+    capacities are shares of the bytes of all distinct keys."""
     whole = log.groupBy("key").agg(F.max("size").alias("size")).agg(F.sum("size").alias("whole"))
-    grid = whole.select(F.explode(F.array(*[F.greatest(F.lit(1), F.floor(F.col("whole") * s)) for s in shares])).alias("capacity"))
+    grid = whole.select(F.explode(F.array(*[F.greatest(F.lit(1), F.floor(F.col("whole") * s)) for s in shares])).alias("capacity")).distinct()
     grid = grid.select(F.explode(F.array(*map(F.lit, policies))).alias("policy"), "capacity")
-    rows = log.select("i", "key", "size").crossJoin(F.broadcast(grid))  # a few (policy, capacity) rows
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        policy, capacity = str(rows["policy"].iloc[0]), int(rows["capacity"].iloc[0])
-        return pd.DataFrame([{"policy": policy, "capacity": capacity, **replay(rows["key"].tolist(), rows["size"].tolist(), capacity, policy)}])
-
-    return rows.groupBy("policy", "capacity").applyInPandas(fold, "policy string, capacity long, hits long, misses long, bytes_read long, evictions long")
+    log = log.select("i", "key", "size")
+    # Places of the next uses are compared, so they stand for the places in the log themselves.
+    after = F.lead(F.coalesce("i", F.lit(LAST)), 1, NEVER).over(Window.partitionBy("key").orderBy(F.asc_nulls_last("i")))
+    at = log.withColumn("after", after if "belady" in policies else F.lit(0).cast("long"))
+    at = at.orderBy(F.asc_nulls_last("i"), "key", "size").select(F.spark_partition_id().alias("part"), "key", "size", "after")
+    packed = at.mapInArrow(_pack, "part int, seq long, keys binary, sizes binary, which binary, after binary")
+    rows = packed.crossJoin(F.broadcast(grid))  # a few (policy, capacity) rows
+    rows = rows.withColumn("after", F.when(F.col("policy") == "belady", F.col("after")))
+    # By range, not by hash: a task a fold, where a hash would lay several into one.
+    rows = rows.repartitionByRange(len(shares) * len(policies), "policy", "capacity").sortWithinPartitions("policy", "capacity", "part", "seq")
+    return rows.mapInArrow(_fold, "policy string, capacity long, hits long, misses long, bytes_read long, evictions long")

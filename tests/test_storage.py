@@ -75,6 +75,23 @@ def test_entries_larger_than_the_cache_stay_out():
         assert bytecache.replay([], [], 10, p)["hits"] == 0
 
 
+def test_sweep_goes_through_the_log_in_stretches(spark):
+    rng = random.Random(9)
+    size = {k: rng.randrange(1, 40) for k in range(600)}
+    keys = [min(rng.randrange(600), rng.randrange(600)) for _ in range(bytecache.STRETCH + 5000)]
+    log = spark.createDataFrame(pd.DataFrame({"i": range(0, 3 * len(keys), 3), "key": keys, "size": [size[k] for k in keys]}).sample(frac=1, random_state=1))
+    # Two shares that are the same capacity are one.
+    swept = bytecache.sweep(log, (0.1, 0.10000001, 0.4))
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and plan.count("MapInArrow") >= 2
+    got = {(r.policy, r.capacity): r.asDict() for r in swept.collect()}
+    whole = sum(size[k] for k in set(keys))
+    for policy in bytecache.POLICIES:
+        for c in {int(whole * s) for s in (0.1, 0.4)}:
+            assert got.pop((policy, c)) == {"policy": policy, "capacity": c, **bytecache.replay(keys, [size[k] for k in keys], c, policy)}
+    assert not got
+
+
 def test_sketch_saturates_and_ages():
     s = bytecache.Sketch()
     s.limit = 1000
