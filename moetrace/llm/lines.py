@@ -1,10 +1,7 @@
 """Line dedup: near-equal lines by MinHash over character shingles, one line kept per component.
 
-Lines are compared lower-cased. A line's set is part of its shingles of 12 characters, chosen by content: those that
-follow a space or one of a few rarer characters, so that an edit changes the choice only near itself. A line in which
-that chooses few (under 12, or under one in 48 characters: short, or without spaces) has the shingles of all its positions
-instead, and a line shorter than 12 is its only shingle. Lines near the border between these kinds (9 to 11 chosen, or one
-in 48 to 64 characters) have both sets: two lines are compared on all positions if both have that set, else on the chosen. The sets' 64-bit hashes lie on a ring with 6 points; each point
+Lines are compared lower-cased. A line's set is its shingles of 12 characters at all positions; a line shorter than 12 is
+its only shingle. The sets' 64-bit hashes lie on a ring with 6 points; each point
 takes the 3 places that follow it, and their combination is a bucket key: sets of Jaccard 0.8 share one with probability
 0.986, of 0.85 with 0.997; measured recall is in the README. Lines that share a bucket are verified by the exact Jaccard of their sets, and a
 distributed union-find joins them; the first line of a component in (doc_id, position) order stays, all others go. Only
@@ -28,10 +25,6 @@ PERCENT = 80
 POINTS, TAKEN = 6, 3
 # One match at every position that has 12 characters from it on.
 SHINGLES = "(?s)(?=(.{12}))."
-# One match at every position behind a space or one of the rarer letters, digits and signs, if 12 characters follow.
-CHOSEN = "(?s)[ \\t05qxzj/+_](?=(.{12}))"
-#: Chosen shingles from which on they make the signature, and below which all positions do; the same for characters to each of them.
-LEAST, FEW, DENSE, SPARSE = 9, 12, 64, 48
 #: Longs of an odd sketch.
 ODD = 8
 
@@ -41,28 +34,15 @@ def _hashes(line: str) -> str:
     return f"array_distinct(transform(if(length({line}) < 12, array({line}), regexp_extract_all({line}, '{SHINGLES}', 1)), x -> xxhash64(x)))"
 
 
-def _chosen(line: str) -> str:
-    return f"array_distinct(transform(regexp_extract_all({line}, '{CHOSEN}', 1), x -> xxhash64(x)))"
-
-
-def _kinds(lines: DataFrame) -> DataFrame:
-    """lines (_line, ...) with _a, the chosen set, and _b, that of all positions: each null where the line is not of that
-    kind. Near the border a line is of both kinds."""
-    at = lines.withColumn("_a", F.expr(_chosen("_line"))).withColumn("_n", F.length("_line"))
-    at = at.withColumn("_b", F.expr(f"if(size(_a) < {FEW} or size(_a) * {SPARSE} < _n, {_hashes('_line')}, null)"))
-    return at.withColumn("_a", F.expr(f"if(size(_a) >= {LEAST} and size(_a) * {DENSE} >= _n, _a, null)")).drop("_n")
-
-
-def _signature(at: DataFrame, of: str) -> DataFrame:
-    """at with _k and the name of the set: the bucket keys of its hashes, null where it has none. The hashes and the points
-    sorted are _s, the ring _r. A point among what follows a point stands for itself."""
-    has = F.col(of).isNotNull()
+def _keys(lines: DataFrame) -> DataFrame:
+    """lines (_line, ...) with the bucket keys of each. The hashes and the points sorted are _s, the ring _r. A point among
+    what follows a point stands for itself."""
     points = [F.lit(i * 2**61 - 2**63 + 2**60) for i in range(POINTS)]
-    at = at.withColumn("_s", F.when(has, F.sort_array(F.concat(of, F.array(*points)))))
+    at = lines.withColumn("_s", F.sort_array(F.concat(F.expr(_hashes("_line")), F.array(*points))))
     # Places and ring come first: in the lambda, which is interpreted, each would go through the whole array once more.
-    at = at.withColumn("_p", F.when(has, F.array(*[F.array_position("_s", p).cast("int") for p in points]))).withColumn("_r", F.when(has, F.concat("_s", F.slice("_s", 1, TAKEN))))
+    at = at.withColumn("_p", F.array(*[F.array_position("_s", p).cast("int") for p in points])).withColumn("_r", F.concat("_s", F.slice("_s", 1, TAKEN)))
     # A lambda all the same: written out, the keys make a method too long for the JVM to compile.
-    return at.withColumn(f"_k{of}", F.when(has, F.transform("_p", lambda p, i: F.xxhash64(i, *[F.get("_r", p + j) for j in range(TAKEN)])))).drop("_s", "_p", "_r")
+    return at.withColumn("keys", F.array_distinct(F.transform("_p", lambda p, i: F.xxhash64(i, *[F.get("_r", p + j) for j in range(TAKEN)])))).drop("_s", "_p", "_r")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -73,9 +53,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _signed(lines: DataFrame) -> DataFrame:
     """doc_id, _t, _pos, _line, _id, _id2, keys of every line."""
-    at = _signature(_signature(_kinds(lines), "_a"), "_b")
-    none = F.expr("cast(array() as array<bigint>)")
-    return at.select("doc_id", "_t", "_pos", "_line", "_id", "_id2", F.array_distinct(F.concat(F.coalesce("_k_a", none), F.coalesce("_k_b", none))).alias("keys"))
+    return _keys(lines).select("doc_id", "_t", "_pos", "_line", "_id", "_id2", "keys")
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -86,30 +64,28 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     held: list[DataFrame] = []
 
     def about(ids: DataFrame) -> DataFrame:
-        """Kinds and sizes of the sets, and odd sketches: where they differ in d bits, the sets differ in d elements at least."""
-        each = among(held[0], ids, "id").select("id", F.col("_b").isNull().cast("int").alias("kind"), F.explode(F.coalesce("_b", "_a")).alias("h"))
+        """Sizes of the sets, and odd sketches: where they differ in d bits, the sets differ in d elements at least."""
+        each = among(held[0], ids, "id").select("id", F.explode("_set").alias("h"))
         odd = [F.expr(f"bit_xor(if((h & {64 * ODD - 1}) div 64 = {i}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"o{i}") for i in range(ODD)]
-        return each.groupBy("id").agg(F.first("kind").alias("kind"), F.count("*").alias("n"), *odd)
+        return each.groupBy("id").agg(F.count("*").alias("n"), *odd)
 
     apart = " + ".join(f"bit_count(x_o{i} ^ y_o{i})" for i in range(ODD))
-    near = f"x_kind <> y_kind or least(x_n, y_n) * 100 >= {percent} * greatest(x_n, y_n) and {100 + percent} * ({apart}) <= {100 - percent} * (x_n + y_n)"
+    near = f"least(x_n, y_n) * 100 >= {percent} * greatest(x_n, y_n) and {100 + percent} * ({apart}) <= {100 - percent} * (x_n + y_n)"
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = settle(pairs)
         if not held:  # the first pairs are of all lines that are ever compared
             ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
             own = among(seen.select("_id", "_line"), ids, "_id").groupBy(F.col("_id").alias("id")).agg(F.first("_line").alias("_line"))
-            held.append(settle(_kinds(own).drop("_line")))
+            held.append(settle(own.select("id", F.expr(_hashes("_line")).alias("_set"))))
             release(ids)
         for side in "ab":
-            pairs = pairs.join(held[0].select(F.col("id").alias(side), F.col("_a").alias(f"a{side}"), F.col("_b").alias(f"b{side}")), side)
-        # Of all positions where both lines have that set, else chosen; lines of one kind each are not alike.
-        link = lambda k: f"{100 + percent}L * size(array_intersect({k}a, {k}b)) >= {percent}L * (size({k}a) + size({k}b))"
-        return pairs.where(f"if(ba is not null and bb is not null, {link('b')}, aa is not null and ab is not null and {link('a')})").select("a", "b").distinct()
+            pairs = pairs.join(held[0].select(F.col("id").alias(side), F.col("_set").alias(f"s{side}")), side)
+        return pairs.where(f"{100 + percent}L * size(array_intersect(sa, sb)) >= {percent}L * (size(sa) + size(sb))").select("a", "b").distinct()
 
     def prefixes(ids: DataFrame) -> DataFrame:
         """The rarest shingles of each line, as many as a link must share one of; counted among the lines compared."""
-        at = settle(among(held[0], ids, "id").select("id", F.explode(F.coalesce("_b", "_a")).alias("shingle")))
+        at = settle(among(held[0], ids, "id").select("id", F.explode("_set").alias("shingle")))
         often = at.groupBy("shingle").agg(F.count("*").alias("n"))
         listed = at.join(often, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
         rarest = listed.select("id", F.explode(F.expr(f"slice(s, 1, size(s) - cast(ceil({percent} * size(s) / 100) as int) + 1)")).alias("s"))

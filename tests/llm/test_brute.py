@@ -26,20 +26,14 @@ def _root(parent, x):
 # Lines
 
 
-def _line_sets(line):
-    """The chosen set and that of all positions, None where the line is not of that kind."""
+def _line_set(line):
     low = line.lower()
-    own = {low[m.start() + 1 : m.start() + 13] for m in re.finditer(r"[ \t05qxzj/+_](?=.{12})", low, re.DOTALL)}
-    whole = {low[i : i + 12] for i in range(len(low) - 11)} if len(low) >= 12 else {low}
-    few = len(own) < lines.FEW or len(own) * lines.SPARSE < len(low)
-    return own if len(own) >= lines.LEAST and len(own) * lines.DENSE >= len(low) else None, whole if few else None
+    return {low[i : i + 12] for i in range(len(low) - 11)} if len(low) >= 12 else {low}
 
 
 def _near_lines(a, b):
-    (ca, x), (cb, y) = _line_sets(a), _line_sets(b)
-    if x is None or y is None:
-        x, y = ca, cb
-    return x is not None and y is not None and 100 * len(x & y) >= lines.PERCENT * len(x | y)
+    x, y = _line_set(a), _line_set(b)
+    return 100 * len(x & y) >= lines.PERCENT * len(x | y)
 
 
 def _brute_lines(rows):
@@ -82,6 +76,21 @@ def test_lines_against_all_pairs(spark):
     assert len(wrong) <= 2, wrong
 
 
+def test_lines_are_compared_at_all_positions(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghi") for _ in range(n))
+    heads = [word(12) for _ in range(20)]
+    # The same behind each space, and different elsewhere.
+    apart = ["".join(f" {h}{word(30)}" for h in heads) for _ in range(2)]
+    # Different behind five of twenty spaces, and the same elsewhere.
+    whole = [f" {word(42)}" for _ in range(20)]
+    close = ["".join(whole), "".join(f" m{w[2:]}" if i < 5 else w for i, w in enumerate(whole))]
+    assert not _near_lines(*apart) and _near_lines(*close)
+    rows = list(enumerate([*apart, *close]))
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1}
+
+
 def test_lines_with_clashing_columns(spark):
     rows = [(1, "one line here\none line here", 7, "a", "b"), (2, None, 8, "c", "d")]
     got = lines.dedup_lines(spark.createDataFrame(rows, SCHEMA + ", gone long, n_removed string, kept string"))
