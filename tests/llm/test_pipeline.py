@@ -98,3 +98,13 @@ def test_empty_table(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
     assert langid.Model([], __import__("numpy").zeros((0, langid.SPACE))).predict("text")[0] == langid.UND
+
+
+def test_lines_stage_compares_whole_lines(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghi") for _ in range(n))
+    heads = [word(12) for _ in range(20)]
+    # The same behind each space, and different elsewhere: neither line goes.
+    rows = [(i, "".join(f" {h}{word(30)}" for h in heads), "en", "web", 0) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()) == [0, 1]
