@@ -1,11 +1,11 @@
 """Line dedup: near-equal lines by MinHash over character shingles, one line kept per component.
 
 Lines are compared lower-cased. A line's set is its shingles of 12 characters at all positions; a line shorter than 12 is
-its only shingle. The sets' 64-bit hashes lie on a ring with 6 points; each point
-takes the 3 places that follow it, and their combination is a bucket key: sets of Jaccard 0.8 share one with probability
-0.986, of 0.85 with 0.997; measured recall is in the README. Lines that share a bucket are verified by the exact Jaccard of their sets, and a
-distributed union-find joins them; the first line of a component in (doc_id, position) order stays, all others go. Only
-DataFrame functions are used.
+its only shingle. The shingles' 32-bit hashes fall into 16 sectors; from each sector's start the nearest hash of the set
+is taken (one of a near sector, where this one is empty), and two of these make a bucket key: sets of Jaccard 0.8 share
+one of the 8 keys with probability 0.9997, of 0.85 with 0.99996. Lines that share a bucket are verified by the exact Jaccard
+of their whole sets, and a distributed union-find joins them; the first line of a component in (doc_id, position) order
+stays, all others go. Only DataFrame functions are used.
 
 Defined results: empty and blank lines (white space only) stay and are never compared; equal lines are one line from the
 start; a null text stays null; rows that share doc_id and text are one document, and each gets that document's result; a
@@ -21,28 +21,46 @@ from .common import among, release, settle
 from .graph import link_buckets
 
 PERCENT = 80
-#: Points of the ring and hashes taken at each.
-POINTS, TAKEN = 6, 3
-# One match at every position that has 12 characters from it on.
-SHINGLES = "(?s)(?=(.{12}))."
+#: Sectors, and hashes in a key.
+SECTORS, TAKEN = 16, 2
+#: Positions for each sector from which on far hashes are first left out.
+AMPLE = 7
 #: Longs of an odd sketch.
 ODD = 8
 
 
+# Characters of four bytes each: a shingle is cut out without a walk through the line. Bytes where shingles begin:
+STARTS = "sequence(1, greatest(octet_length(u) - 47, 1), 4)"
+SHINGLE = "xxhash64(substring(u, i, 48))"
+
+
 def _hashes(line: str) -> str:
     """SQL for the distinct shingles at all positions of a lower-cased line, as 64-bit hashes."""
-    return f"array_distinct(transform(if(length({line}) < 12, array({line}), regexp_extract_all({line}, '{SHINGLES}', 1)), x -> xxhash64(x)))"
+    return f"array_distinct(transform(array(encode({line}, 'UTF-32')), u -> transform({STARTS}, i -> {SHINGLE}))[0])"
+
+
+def _nearest(lines: DataFrame, most: int) -> DataFrame:
+    """_id, n, and of each sector the nearest hash m0, m1, ... over the shingles at all positions of lines (_id, _line). In
+    lines of more than `most` shingles, only the first and those so near to their sector's start that about `most` are left."""
+    at = lines.select("_id", F.encode("_line", "UTF-32").alias("u")).withColumn("n", F.expr("greatest(octet_length(u) div 4 - 11, 1)"))
+    at = at.select("_id", "u", "n", F.explode(F.expr(STARTS)).alias("i")).select("_id", "n", "i", F.expr(f"cast({SHINGLE} >> 32 as int)").alias("h"))
+    at = at.where(f"i = 1 or n <= {most} or (h & {2**28 - 1}L) * n < {most * 2**28}L")
+    return at.groupBy("_id").agg(F.max("n").alias("n"), *[F.expr(f"min(h ^ shiftleft({i}, 28))").alias(f"m{i}") for i in range(SECTORS)])
 
 
-def _keys(lines: DataFrame) -> DataFrame:
-    """lines (_line, ...) with the bucket keys of each. The hashes and the points sorted are _s, the ring _r. A point among
-    what follows a point stands for itself."""
-    points = [F.lit(i * 2**61 - 2**63 + 2**60) for i in range(POINTS)]
-    at = lines.withColumn("_s", F.sort_array(F.concat(F.expr(_hashes("_line")), F.array(*points))))
-    # Places and ring come first: in the lambda, which is interpreted, each would go through the whole array once more.
-    at = at.withColumn("_p", F.array(*[F.array_position("_s", p).cast("int") for p in points])).withColumn("_r", F.concat("_s", F.slice("_s", 1, TAKEN)))
-    # A lambda all the same: written out, the keys make a method too long for the JVM to compile.
-    return at.withColumn("keys", F.array_distinct(F.transform("_p", lambda p, i: F.xxhash64(i, *[F.get("_r", p + j) for j in range(TAKEN)])))).drop("_s", "_p", "_r")
+def _signed(lines: DataFrame) -> DataFrame:
+    """_id and keys of every line of lines (_id, _line), a settled table. Where far hashes were left out and a sector has no
+    near one, the line is signed anew with all its hashes, so the keys are always those of the whole set."""
+    most = AMPLE * SECTORS
+    # In its own sector, the nearest hash is so far above the least int.
+    sure = " and ".join(f"(m{i} + {2**31}L) * n < {most * 2**28}L" for i in range(SECTORS))
+    near = settle(_nearest(lines, most).withColumn("sure", F.expr(f"n <= {most} or ({sure})")))
+    unsure = settle(near.where("not sure").select("_id"))
+    again = settle(_nearest(among(lines.select("_id", "_line"), unsure, "_id"), 2**31 - 1))
+    keys = F.array(*[F.xxhash64(F.lit(i), *[f"m{i + j}" for j in range(TAKEN)]) for i in range(0, SECTORS, TAKEN)])
+    out = settle(near.where("sure").select("_id", keys.alias("keys")).union(again.select("_id", keys)))
+    release(near, unsure, again)
+    return out
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -51,21 +69,17 @@ def _lines(docs: DataFrame) -> DataFrame:
     return at.select("doc_id", "_t", "_pos", "_line", F.xxhash64("_line").alias("_id"), F.hash("_line").alias("_id2"))
 
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """doc_id, _t, _pos, _line, _id, _id2, keys of every line."""
-    return _keys(lines).select("doc_id", "_t", "_pos", "_line", "_id", "_id2", "keys")
-
-
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, _t (hash of the text) and gone: the positions of the lines that go, for documents that lose any."""
     docs = docs.select("doc_id", "text").where("text is not null")
-    seen = settle(_signed(_lines(docs)))
-    members = seen.select("_id", F.explode("keys").alias("key")).select("key", F.col("_id").alias("id"), F.lit(1).alias("copies"))
+    seen = settle(_lines(docs))
+    signed = _signed(seen)
+    members = signed.select("_id", F.explode("keys").alias("key")).select("key", F.col("_id").alias("id"), F.lit(1).alias("copies"))
     held: list[DataFrame] = []
 
     def about(ids: DataFrame) -> DataFrame:
         """Sizes of the sets, and odd sketches: where they differ in d bits, the sets differ in d elements at least."""
-        each = among(held[0], ids, "id").select("id", F.explode("_set").alias("h"))
+        each = among(held[0], ids, "id").select("id", F.explode(F.expr(_hashes("_line"))).alias("h"))
         odd = [F.expr(f"bit_xor(if((h & {64 * ODD - 1}) div 64 = {i}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"o{i}") for i in range(ODD)]
         return each.groupBy("id").agg(F.count("*").alias("n"), *odd)
 
@@ -76,16 +90,17 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = settle(pairs)
         if not held:  # the first pairs are of all lines that are ever compared
             ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
-            own = among(seen.select("_id", "_line"), ids, "_id").groupBy(F.col("_id").alias("id")).agg(F.first("_line").alias("_line"))
-            held.append(settle(own.select("id", F.expr(_hashes("_line")).alias("_set"))))
+            held.append(settle(among(seen.select("_id", "_line"), ids, "_id").groupBy(F.col("_id").alias("id")).agg(F.first("_line").alias("_line"))))
             release(ids)
+        # Lines travel, not their sets, which take eight times the room.
         for side in "ab":
-            pairs = pairs.join(held[0].select(F.col("id").alias(side), F.col("_set").alias(f"s{side}")), side)
-        return pairs.where(f"{100 + percent}L * size(array_intersect(sa, sb)) >= {percent}L * (size(sa) + size(sb))").select("a", "b").distinct()
+            pairs = pairs.join(held[0].select(F.col("id").alias(side), F.col("_line").alias(f"l{side}")), side)
+        sets = f"struct({_hashes('la')} as x, {_hashes('lb')} as y)"
+        return pairs.where(f"transform(array({sets}), s -> {100 + percent}L * size(array_intersect(s.x, s.y)) >= {percent}L * (size(s.x) + size(s.y)))[0]").select("a", "b").distinct()
 
     def prefixes(ids: DataFrame) -> DataFrame:
         """The rarest shingles of each line, as many as a link must share one of; counted among the lines compared."""
-        at = settle(among(held[0], ids, "id").select("id", F.explode("_set").alias("shingle")))
+        at = settle(among(held[0], ids, "id").select("id", F.explode(F.expr(_hashes("_line"))).alias("shingle")))
         often = at.groupBy("shingle").agg(F.count("*").alias("n"))
         listed = at.join(often, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
         rarest = listed.select("id", F.explode(F.expr(f"slice(s, 1, size(s) - cast(ceil({percent} * size(s) / 100) as int) + 1)")).alias("s"))
@@ -96,7 +111,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # One node for the lines of each _id; a key of a line with few shingles is its whole set.
     found = link_buckets(members, verify, about, near, prefixes)
-    release(*held)
+    release(signed, *held)
     # Only lines that are there twice or have links can go.
     twice = seen.groupBy("_id", "_id2").agg(F.count("*").alias("n")).where("n > 1").select("_id")
     doubtful = settle(twice.union(found.select(F.col("node").alias("_id"))).distinct())

@@ -91,6 +91,20 @@ def test_lines_are_compared_at_all_positions(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 1}
 
 
+def test_lines_just_near_enough_are_found(spark):
+    """Pairs just above the bound: keys of few hashes of a line lose some of them. Repeated shingles leave sectors empty."""
+    rng, rows = random.Random(12), []
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for i in range(400):
+        n = rng.choice([150, 250, 600])
+        line = word("abcdefghijklmnoprstuvwxyz ", n + 11)
+        rows += [(2 * i, line), (2 * i + 1, line + word("0123456789", n // 4))]
+    assert all(_near_lines(rows[k][1], rows[k + 1][1]) for k in range(0, 800, 2))
+    rows += [(800, "ab" * 900), (801, "ab" * 901), (802, "x" * 700), (803, "yz" + "x" * 700)]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [i for i in got if got[i] != (i % 2 if i < 802 else 0)] == []
+
+
 def test_lines_with_clashing_columns(spark):
     rows = [(1, "one line here\none line here", 7, "a", "b"), (2, None, 8, "c", "d")]
     got = lines.dedup_lines(spark.createDataFrame(rows, SCHEMA + ", gone long, n_removed string, kept string"))
