@@ -17,6 +17,8 @@ ROUND_ROWS = 100_000
 APART = 1_000_000
 #: Members of a mixed bucket that are compared within it; members of larger ones meet by prefixes.
 SMALL = 32
+#: Prefixes of up to so many shingles travel with each of them, so that a pair comes from its first common one alone.
+SHORT = 128
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -52,18 +54,31 @@ def components(links: DataFrame) -> DataFrame:
 def crowded(members: DataFrame) -> DataFrame:
     """key, id, copies, pivot, many for the members (key, id, copies) of the keys that two ids or more share; copies of a
     member that comes several times are added up. pivot is the most copied member (then the smallest id), many their number.
+    members are read twice: they are to be cheap to make from a settled table.
 
     Most keys have one member: only rows of the others pass the Bloom filter in front of the join's shuffle."""
-    members = settle(members)
     shared = settle(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"))
     at = settle(among(members, shared, "key").groupBy("key", "id").agg(F.sum("copies").alias("copies")))
-    release(shared, members)
+    release(shared)
     groups = settle(at.groupBy("key").agg(F.min(F.struct(-F.col("copies"), F.col("id")))["id"].alias("pivot"), F.count("*").alias("many")))
     out = settle(at.join(groups, "key"))
     release(at, groups)
     return out
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of found, a settled table, with further links (a, b). Only the graph of components is searched."""
+    for side in "ab":
+        links = links.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+    links = links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = settle(components(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    of = moved.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    whole = found.join(of, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    out = settle(whole.union(moved.join(found.select("node"), "node", "left_anti")))
+    release(moved)
+    return out
+
+
 def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], info: Callable[[DataFrame], DataFrame], near: str, prefixes: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) over the verified links among members (key, id, copies) that share a key.
 
@@ -72,7 +87,8 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], i
     no further link could change anything. In the others, every member outside the bucket's largest component is
     compared with the members of other components that near lets through: SQL over the columns that info gives for ids
     (id, ...), prefixed x_ and y_. Buckets of up to SMALL members are compared within themselves; members of larger ones
-    meet where their prefixes do: (id, shingle) such that linked ids have a shingle in common. So no bucket is capped, and
+    meet where their prefixes do: (id, shingle) such that linked ids have a shingle in common. There too, one member of a
+    shingle is compared with the others first, and all pairs only where components still differ. So no bucket is capped, and
     no link between components is lost that near lets through. verify takes pairs (a, b), a < b, and returns the links."""
     crowd = crowded(members)
     star = crowd.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
@@ -97,18 +113,26 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], i
     x, y = sides(rows.where(F.col("many") <= SMALL), "key")
     pairs = x.join(y, (x["key"] == y["same"]) & F.expr(f"component <> their and ({near})")).select(*ends)
     large = settle(rows.where(F.col("many") > SMALL).groupBy("id", "component", *columns).agg(F.max("minor").alias("minor")))
-    if large.limit(1).count():
+    some = large.limit(1).count()
+    if some:
         first = settle(prefixes(large.select("id")))
-        x, y = sides(large.join(first, "id"), "shingle")
-        pairs = pairs.union(x.join(y, (x["shingle"] == y["same"]) & F.expr(f"component <> their and ({near})")).select(*ends))
-    more = verify(pairs.distinct())
-    # New links join components: only their graph is searched.
-    for side in "ab":
-        more = more.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-    more = more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    moved = settle(components(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
-    of = moved.select(F.col("node").alias("component"), F.col("component").alias("now"))
-    whole = found.join(of, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
-    out = settle(whole.union(moved.join(found.select("node"), "node", "left_anti")))
-    release(at, found, held, rows, large, moved)
+        meet = settle(large.join(first, "id"))
+        # As with buckets, one member of each shingle is compared with the others first: as many pairs as members.
+        lone = meet.groupBy("shingle").agg(F.min_by(F.struct("id", "component", *columns), F.xxhash64("id")).alias("p"))
+        lone = lone.select("shingle", F.col("p.id").alias("other"), F.col("p.component").alias("their"), *[F.col(f"p.{c}").alias(f"y_{c}") for c in columns])
+        x = meet.select("shingle", "id", "component", *[F.col(c).alias(f"x_{c}") for c in columns])
+        pairs = pairs.union(x.join(lone, "shingle").where(f"component <> their and ({near})").select(*ends))
+    out = merged(found, verify(pairs.distinct()))
+    if some:
+        now = settle(meet.drop("component").join(out.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+        # Only shingles of several components can still bring a link.
+        differing = settle(now.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle"))
+        whole = first.groupBy("id").agg(F.count("*").alias("k"), F.collect_list(F.col("shingle")).alias("p")).select("id", F.expr(f"if(k <= {SHORT}, p, null)").alias("p"))
+        columns.append("p")
+        x, y = sides(settle(among(now, differing, "shingle").join(whole, "id")), "shingle")
+        once = "coalesce(shingle = array_min(array_intersect(x_p, y_p)), true)"
+        pairs = x.join(y, (x["shingle"] == y["same"]) & F.expr(f"component <> their and ({near}) and {once}")).select(*ends)
+        before, out = out, merged(out, verify(pairs.distinct()))
+        release(before, first, meet, now, differing)
+    release(at, found, held, rows, large)
     return out

@@ -73,6 +73,22 @@ def test_near_duplicates(spark, texts, size):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), _root(parent, r.doc_id), _root(parent, r.doc_id) == r.doc_id)
 
 
+def test_large_mixed_buckets_are_not_compared_pair_by_pair(spark):
+    """One bucket whose pivot is unlike the others, which are all alike."""
+    n, asked = 150, []
+    members = spark.range(n).selectExpr("7L as key", "id", "1 as copies")
+
+    def verify(pairs):
+        asked.append(pairs.count())
+        return pairs.where("a > 0")
+
+    prefixes = lambda ids: ids.select("id", F.lit(1).cast("long").alias("shingle"))
+    found = graph.link_buckets(members, verify, lambda ids: ids.withColumn("n", F.lit(1)), "x_n = y_n", prefixes)
+    parts = {r.node: r.component for r in found.collect()}
+    assert {k: v for k, v in parts.items() if k} == dict.fromkeys(range(1, n), 1) and parts.get(0, 0) == 0
+    assert sum(asked) < 4 * n
+
+
 def test_line_dedup(spark):
     base = "the quick brown fox jumps over the lazy dog while the old grey cat sleeps under a large green tree by the river all day long and nobody in the small town nearby ever wonders why these two animals never meet before the first snow of winter falls"
     near = base.replace("grey", "gray")
