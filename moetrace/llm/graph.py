@@ -26,20 +26,24 @@ def components(links: DataFrame) -> DataFrame:
 
     Distributed union-find by alternating star contraction: each round points the neighbours of a node at the smallest
     of them (large star, then small star). Rows stay within twice the links, and rounds grow with the logarithm of the
-    longest path. Each round is written to the shared folder. In graphs of over APART links, what a round joins is written
-    too, so that both sides of a join are plain shuffles, and a node with very many links can be split among tasks."""
+    longest path. Each round is written to the shared folder. Of graphs of up to ROUND_ROWS links a round is one task,
+    without a shuffle. In graphs of over APART links, what a round joins is written too, so that both sides of a join are
+    plain shuffles, and a node with very many links can be split among tasks."""
     edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     digest, rows = None, edges.count()
     for _ in range(MOST_ROUNDS):
         few = -(-rows // ROUND_ROWS) or 1
         step = settle if rows > APART else lambda x: x
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        edges, before = edges.coalesce(1) if few == 1 else edges, edges
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         low = step(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = step(large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct())
+        large = large.union(low.where("m < u").select("u", F.col("m").alias("v")))
+        large = step((large.coalesce(1) if few == 1 else large).distinct())
         down = step(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, edges = edges, settle(small.union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(few))
+        small = small.union(down.select("u", F.col("m").alias("v"))).where("u <> v")
+        edges = settle((small.coalesce(1) if few == 1 else small).distinct().coalesce(few))
         release(before, *([low, large, down] if rows > APART else []))
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(38,0)))")).first()
         if now == digest:
@@ -79,7 +83,10 @@ def merged(found: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], info: Callable[[DataFrame], DataFrame], near: str, prefixes: Callable[[DataFrame], DataFrame]) -> DataFrame:
+Info = Callable[[DataFrame], DataFrame]
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], info: Info, near: str, prefixes: Info, closer: tuple[Info, str] | None = None) -> DataFrame:
     """(node, component) over the verified links among members (key, id, copies) that share a key.
 
     First each bucket's pivot is compared with the others of its bucket: as many pairs as members, whatever the bucket's
@@ -89,7 +96,8 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], i
     (id, ...), prefixed x_ and y_. Buckets of up to SMALL members are compared within themselves; members of larger ones
     meet where their prefixes do: (id, shingle) such that linked ids have a shingle in common. There too, one member of a
     shingle is compared with the others first, and all pairs only where components still differ. So no bucket is capped, and
-    no link between components is lost that near lets through. verify takes pairs (a, b), a < b, and returns the links."""
+    no link between components is lost that near lets through. verify takes pairs (a, b), a < b, and returns the links.
+    closer: another info and near for the members of large buckets, where more pairs are near to the bound."""
     crowd = crowded(members)
     star = crowd.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
     found = settle(components(verify(star)))
@@ -102,7 +110,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], i
     if not at.limit(1).count():
         release(at)
         return found
-    held = settle(info(at.select("id").distinct()))
+    held = settle(info((at.where(F.col("many") <= SMALL) if closer else at).select("id").distinct()))
     columns = [c for c in held.columns if c != "id"]
     rows = settle(at.join(held, "id"))
     sides = lambda rows, by: (
@@ -112,8 +120,13 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], i
     ends = (F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     x, y = sides(rows.where(F.col("many") <= SMALL), "key")
     pairs = x.join(y, (x["key"] == y["same"]) & F.expr(f"component <> their and ({near})")).select(*ends)
-    large = settle(rows.where(F.col("many") > SMALL).groupBy("id", "component", *columns).agg(F.max("minor").alias("minor")))
+    large = settle((at if closer else rows).where(F.col("many") > SMALL).groupBy("id", "component", *([] if closer else columns)).agg(F.max("minor").alias("minor")))
     some = large.limit(1).count()
+    if some and closer:
+        before, near = large, closer[1]
+        large = settle(large.join(closer[0](large.select("id")), "id"))
+        columns = [c for c in large.columns if c not in ("id", "component", "minor")]
+        release(before)
     if some:
         first = settle(prefixes(large.select("id")))
         meet = settle(large.join(first, "id"))

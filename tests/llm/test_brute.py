@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from moetrace.llm import ann, decontaminate, langid, lines, minhash, packing, queries, secrets, sharding, toxicity
+from moetrace.llm import ann, decontaminate, graph, langid, lines, minhash, packing, queries, secrets, sharding, toxicity
 
 SCHEMA = "doc_id long, text string"
 SF = "/root/testdata/sf0.001"
@@ -105,6 +105,38 @@ def test_lines_just_near_enough_are_found(spark):
     assert [i for i in got if got[i] != (i % 2 if i < 802 else 0)] == []
 
 
+def _family(seed, n, length, edits):
+    rng = random.Random(seed)
+    base = "".join(rng.choice("abcdefghijklmnoprstuvwy ") for _ in range(length))
+    out = []
+    for _ in range(n):
+        line = list(base)
+        for _ in range(rng.choice(edits)):
+            line[rng.randrange(length)] = rng.choice("0123456789")
+        out.append("".join(line))
+    return out
+
+
+def test_long_lines_of_large_buckets_meet_by_few_shingles(spark, monkeypatch):
+    """Each pair comes from its first common shingle, which is known where a line has few of them."""
+    own, seen = _family(3, 40, 1500, [2, 5, 8]), {}
+
+    def link(members, verify, info, near, prefixes, *closer):
+        ids = members.select("id").distinct()
+        pairs = ids.withColumnRenamed("id", "a").crossJoin(ids.withColumnRenamed("id", "b")).where("a < b")
+        seen["links"] = [tuple(r) for r in verify(pairs).collect()]
+        seen["first"] = [tuple(r) for r in prefixes(ids).collect()]
+        return graph.components(pairs.limit(0))
+
+    monkeypatch.setattr(lines, "link_buckets", link)
+    lines.dedup_lines(spark.createDataFrame(list(enumerate(own)), SCHEMA)).count()
+    by = {}
+    for i, shingle in seen["first"]:
+        by.setdefault(i, set()).add(shingle)
+    assert len(seen["links"]) == sum(_near_lines(a, b) for a, b in itertools.combinations(own, 2)) > 20
+    assert max(map(len, by.values())) <= graph.SHORT and all(by[a] & by[b] for a, b in seen["links"])
+
+
 def test_lines_with_clashing_columns(spark):
     rows = [(1, "one line here\none line here", 7, "a", "b"), (2, None, 8, "c", "d")]
     got = lines.dedup_lines(spark.createDataFrame(rows, SCHEMA + ", gone long, n_removed string, kept string"))
