@@ -137,6 +137,23 @@ def test_long_lines_of_large_buckets_meet_by_few_shingles(spark, monkeypatch):
     assert max(map(len, by.values())) <= graph.SHORT and all(by[a] & by[b] for a, b in seen["links"])
 
 
+def test_lines_that_cannot_link_are_not_compared_by_their_sets(spark, monkeypatch):
+    rng, counts = random.Random(7), []
+    head = "the same words stand here before all that comes after them in each of these lines "
+    rows = [(i, head + "".join(rng.choice("abcdefghi") for _ in range(200))) for i in range(60)] + [(60 + i, x) for i, x in enumerate(_family(8, 6, 400, [1, 2]))]
+
+    def settled(df, settle=lines.settle):
+        out = settle(df)
+        if out.columns == ["a", "b"]:
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "settle", settled)
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: int(i > 60) for i in range(66)}
+    assert counts[0] > 20 and sum(counts[1:]) <= 15
+
+
 def test_lines_with_clashing_columns(spark):
     rows = [(1, "one line here\none line here", 7, "a", "b"), (2, None, 8, "c", "d")]
     got = lines.dedup_lines(spark.createDataFrame(rows, SCHEMA + ", gone long, n_removed string, kept string"))
