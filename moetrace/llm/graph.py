@@ -60,11 +60,12 @@ def crowded(members: DataFrame) -> DataFrame:
     member that comes several times are added up. pivot is the most copied member (then the smallest id), many their number.
     members are read twice: they are to be cheap to make from a settled table.
 
-    Most keys have one member: only rows of the others pass the Bloom filter in front of the join's shuffle."""
-    shared = settle(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"))
+    Most keys have one member. Their rows are counted first, as a count takes less room in the shuffle than ids; keys whose
+    rows are all of one id go with the join of the groups."""
+    shared = settle(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     at = settle(among(members, shared, "key").groupBy("key", "id").agg(F.sum("copies").alias("copies")))
     release(shared)
-    groups = settle(at.groupBy("key").agg(F.min(F.struct(-F.col("copies"), F.col("id")))["id"].alias("pivot"), F.count("*").alias("many")))
+    groups = settle(at.groupBy("key").agg(F.min(F.struct(-F.col("copies"), F.col("id")))["id"].alias("pivot"), F.count("*").alias("many")).where("many > 1"))
     out = settle(at.join(groups, "key"))
     release(at, groups)
     return out
@@ -86,7 +87,7 @@ def merged(found: DataFrame, links: DataFrame) -> DataFrame:
 Info = Callable[[DataFrame], DataFrame]
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], info: Info, near: str, prefixes: Info, closer: tuple[Info, str] | None = None) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], info: Info, near: str, prefixes: Info, closer: tuple[Info, str] | None = None, own: bool = False) -> DataFrame:
     """(node, component) over the verified links among members (key, id, copies) that share a key.
 
     First each bucket's pivot is compared with the others of its bucket: as many pairs as members, whatever the bucket's
@@ -97,8 +98,11 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], i
     meet where their prefixes do: (id, shingle) such that linked ids have a shingle in common. There too, one member of a
     shingle is compared with the others first, and all pairs only where components still differ. So no bucket is capped, and
     no link between components is lost that near lets through. verify takes pairs (a, b), a < b, and returns the links.
-    closer: another info and near for the members of large buckets, where more pairs are near to the bound."""
+    closer: another info and near for the members of large buckets, where more pairs are near to the bound. own: the settled
+    tables that members are read from are deleted once the buckets are known."""
     crowd = crowded(members)
+    if own:
+        release(members)
     star = crowd.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
     found = settle(components(verify(star)))
     at = crowd.where("many > 2").select("key", "id", "many").join(found.withColumnRenamed("node", "id"), "id", "left")

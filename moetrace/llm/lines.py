@@ -25,6 +25,8 @@ PERCENT = 80
 SECTORS, TAKEN = 16, 2
 #: Positions for each sector from which on far hashes are first left out.
 AMPLE = 7
+#: White space, as in the regular expression \\s: a match of each line with \\S costs more than to strip its beginning.
+BLANK = " \t\n\x0b\f\r"
 #: Longs of a sketch.
 LONGS = 16
 #: Shingles of a line that are drawn to find its links within a large bucket, and which percentage of its rarest counts.
@@ -60,14 +62,13 @@ def _signed(lines: DataFrame) -> DataFrame:
     unsure = settle(near.where("not sure").select("_id"))
     again = settle(_nearest(among(lines.select("_id", "_line"), unsure, "_id"), 2**31 - 1))
     own = ["_id", *[f"m{i}" for i in range(SECTORS)]]
-    out = settle(near.where("sure").select(own).union(again.select(own)))
-    release(near, unsure, again)
-    return out
+    release(unsure)
+    return near.where("sure").select(own).union(again.select(own))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     at = docs.select("doc_id", F.xxhash64("text").alias("_t"), F.posexplode(F.split("text", "\n", -1)).alias("_pos", "_raw"))
-    at = at.where(F.col("_raw").rlike(r"\S")).select("doc_id", "_t", "_pos", F.lower("_raw").alias("_line"))
+    at = at.where(F.ltrim("_raw", F.lit(BLANK)) != "").select("doc_id", "_t", "_pos", F.lower("_raw").alias("_line"))
     return at.select("doc_id", "_t", "_pos", "_line", F.xxhash64("_line").alias("_id"), F.hash("_line").alias("_id2"))
 
 
@@ -79,6 +80,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(i), *[f"m{i + j}" for j in range(TAKEN)]) for i in range(0, SECTORS, TAKEN)])
     members = signed.select("_id", F.explode(keys).alias("key")).select("key", F.col("_id").alias("id"), F.lit(1).alias("copies"))
     held: list[DataFrame] = []
+    places: list[DataFrame] = []
     apart = lambda c: " + ".join(f"bit_count(x_{c}{i} ^ y_{c}{i})" for i in range(LONGS))
     few = lambda c: f"{100 + percent} * ({apart(c)}) <= {100 - percent} * (x_n + y_n)"
     bit = lambda i: f"if((h & {64 * LONGS - 1}) div 64 = {i}, shiftleft(1L, cast(h & 63 as int)), 0L)"
@@ -106,7 +108,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             for side, name in zip("ab", "xy", strict=True):
                 pairs = pairs.join(held[1].select(F.col("id").alias(side), *[F.col(c).alias(f"{name}_{c}") for c in held[1].columns if c != "id"]), side)
             pairs = settle(pairs.where(few("f")).select("a", "b"))
-            release(ids)
+            # From now on no other line's text is read.
+            places.append(settle(seen.drop("_line")))
+            release(ids, seen)
         # Lines travel, not their sets, which take eight times the room.
         for side in "ab":
             pairs = pairs.join(held[0].select(F.col("id").alias(side), F.col("_line").alias(f"l{side}")), side)
@@ -128,8 +132,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return out
 
     # One node for the lines of each _id; a key of a line with few shingles is its whole set.
-    found = link_buckets(members, verify, lambda ids: among(held[1], settle(ids), "id"), few("f"), prefixes, (about, near))
-    release(signed, *held)
+    found = link_buckets(members, verify, lambda ids: among(held[1], settle(ids), "id"), few("f"), prefixes, (about, near), True)
+    release(*held)
+    seen = places[0]
     # Only lines that are there twice or have links can go.
     twice = seen.groupBy("_id", "_id2").agg(F.count("*").alias("n")).where("n > 1").select("_id")
     doubtful = settle(twice.union(found.select(F.col("node").alias("_id"))).distinct())
@@ -139,8 +144,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Partial results first: a line of any number of copies is a row a task.
     first = at.groupBy(F.coalesce("component", "_id"), F.when(F.col("component").isNull(), F.col("_id2"))).agg(F.min("_place").alias("_place"))
     both = at.select("_place", F.lit(False).alias("stays")).union(first.select("_place", F.lit(True)))
-    places = lambda stays: F.collect_set(F.when(F.col("stays") == stays, F.col("_place._pos")))
-    both = both.groupBy(F.col("_place.doc_id").alias("doc_id"), F.col("_place._t").alias("_t")).agg(F.array_except(places(False), places(True)).alias("gone"))
+    of = lambda stays: F.collect_set(F.when(F.col("stays") == stays, F.col("_place._pos")))
+    both = both.groupBy(F.col("_place.doc_id").alias("doc_id"), F.col("_place._t").alias("_t")).agg(F.array_except(of(False), of(True)).alias("gone"))
     gone = settle(both.where("size(gone) > 0"))
     release(seen, found, doubtful, at)
     return gone

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -154,6 +155,28 @@ def test_lines_that_cannot_link_are_not_compared_by_their_sets(spark, monkeypatc
     assert counts[0] > 20 and sum(counts[1:]) <= 15
 
 
+def test_texts_and_signatures_leave_the_disk_before_lines_are_linked(spark, monkeypatch):
+    made, left, folders = [], [], {}
+
+    def settled(df, settle=lines.settle):
+        made.append(settle(df))
+        folders[id(made[-1])] = made[-1].inputFiles()
+        return made[-1]
+
+    def components(links, components=graph.components):
+        for df in made:
+            if ("m0" in df.columns or {"_pos", "_line"} <= {*df.columns}) and any(Path(f.removeprefix("file:")).exists() for f in folders[id(df)]):
+                left.append(df.columns)
+        return components(links)
+
+    monkeypatch.setattr(lines, "settle", settled)
+    monkeypatch.setattr(graph, "components", components)
+    rows = [*enumerate(_family(9, 5, 200, [1])), (9, "\t \x0b\f\r\n\x1f\n\u3000")]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: int(0 < i < 9) for i, _ in rows}
+    assert any("m0" in df.columns for df in made) and left == []
+
+
 def test_lines_with_clashing_columns(spark):
     rows = [(1, "one line here\none line here", 7, "a", "b"), (2, None, 8, "c", "d")]
     got = lines.dedup_lines(spark.createDataFrame(rows, SCHEMA + ", gone long, n_removed string, kept string"))
