@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from moetrace.llm import ann, decontaminate, graph, langid, licenses, lines, minhash, packing, secrets, sharding, toxicity
+from moetrace.llm import ann, common, decontaminate, graph, langid, licenses, lines, minhash, packing, secrets, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -266,3 +266,13 @@ def test_empty_tables(spark):
     none = _docs(spark, [])
     assert minhash.near_duplicates(none).count() == lines.dedup_lines(none).count() == sharding.shard_documents(none).count() == 0
     assert packing.pack(none, VOCABULARY).count() == secrets.find_secrets(none).count() == licenses.scan(none).count() == 0
+
+
+def test_settling_gives_the_drivers_heap_back(spark):
+    """By itself the JVM keeps 70 % of its heap free after a collection."""
+    jvm = spark.sparkContext._jvm
+    large = [jvm.java.nio.ByteBuffer.allocate(1 << 20) for _ in range(300)]
+    del large
+    common.settle(spark.range(3))
+    heap = jvm.java.lang.Runtime.getRuntime()
+    assert heap.freeMemory() <= 0.6 * heap.totalMemory()
