@@ -14,7 +14,7 @@ n_removed are replaced. Lines are told apart by two hashes of 96 bits together."
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import among, release, settle
@@ -47,8 +47,11 @@ def _nearest(lines: DataFrame, most: int) -> DataFrame:
     """_id, n, and of each sector the nearest hash m0, m1, ... over the shingles at all positions of lines (_id, _line). In
     lines of more than `most` shingles, only the first and those so near to their sector's start that about `most` are left."""
     at = lines.select("_id", F.encode("_line", "UTF-32").alias("u")).withColumn("n", F.expr("greatest(octet_length(u) div 4 - 11, 1)"))
-    at = at.select("_id", "u", "n", F.explode(F.expr(STARTS)).alias("i")).select("_id", "n", "i", F.expr(f"cast({SHINGLE} >> 32 as int)").alias("h"))
-    at = at.where(f"i = 1 or n <= {most} or (h & {2**28 - 1}L) * n < {most * 2**28}L")
+    at = at.withColumn("near", F.expr(f"cast(least(({most * 2**28}L + n - 1) div n, {2**28}L) as int)"))
+    # Row numbers are never below 0: they keep the condition from going below this step, where hashes would be made twice.
+    once = F.expr(f"if(monotonically_increasing_id() < 0, 0, cast({SHINGLE} >> 32 as int))").alias("h")
+    at = at.select("_id", "u", "n", "near", F.explode(F.expr(STARTS)).alias("i")).select("_id", "n", "near", "i", once)
+    at = at.where(f"i = 1 or (h & {2**28 - 1}) < near")
     return at.groupBy("_id").agg(F.max("n").alias("n"), *[F.expr(f"min(h ^ shiftleft({i}, 28))").alias(f"m{i}") for i in range(SECTORS)])
 
 
@@ -83,7 +86,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     places: list[DataFrame] = []
     apart = lambda c: " + ".join(f"bit_count(x_{c}{i} ^ y_{c}{i})" for i in range(LONGS))
     few = lambda c: f"{100 + percent} * ({apart(c)}) <= {100 - percent} * (x_n + y_n)"
-    bit = lambda i: f"if((h & {64 * LONGS - 1}) div 64 = {i}, shiftleft(1L, cast(h & 63 as int)), 0L)"
+    bit = lambda i: f"if((h & {64 * LONGS - 64}) = {64 * i}, shiftleft(1L, cast(h & 63 as int)), 0L)"
+    listed: list[DataFrame] = []
 
     def filled(lines: DataFrame) -> DataFrame:
         """Numbers of positions, and which slots the hashes fill: of sets that differ in d elements, d slots at most differ.
@@ -92,9 +96,13 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         each = each.select("id", F.expr(SHINGLE).alias("h"))
         return each.groupBy("id").agg(F.count("*").alias("n"), *[F.expr(f"bit_or({bit(i)})").alias(f"f{i}") for i in range(LONGS)])
 
+    def shingles(ids: DataFrame) -> DataFrame:
+        return settle(among(held[0], ids, "id").select("id", F.explode(F.expr(_hashes("_line"))).alias("shingle")))
+
     def about(ids: DataFrame) -> DataFrame:
         """Sizes of the sets, and odd sketches: where they differ in d bits, the sets differ in d elements at least."""
-        each = among(held[0], ids, "id").select("id", F.explode(F.expr(_hashes("_line"))).alias("h"))
+        listed.append(shingles(ids))
+        each = listed[0].select("id", F.col("shingle").alias("h"))
         return each.groupBy("id").agg(F.count("*").alias("n"), *[F.expr(f"bit_xor({bit(i)})").alias(f"o{i}") for i in range(LONGS)])
 
     near = f"least(x_n, y_n) * 100 >= {percent} * greatest(x_n, y_n) and {few('o')}"
@@ -111,23 +119,27 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             # From now on no other line's text is read.
             places.append(settle(seen.drop("_line")))
             release(ids, seen)
-        # Lines travel, not their sets, which take eight times the room.
-        for side in "ab":
-            pairs = pairs.join(held[0].select(F.col("id").alias(side), F.col("_line").alias(f"l{side}")), side)
-        sets = f"struct({_hashes('la')} as x, {_hashes('lb')} as y)"
-        return pairs.where(f"transform(array({sets}), s -> {100 + percent}L * size(array_intersect(s.x, s.y)) >= {percent}L * (size(s.x) + size(s.y)))[0]").select("a", "b").distinct()
+        # Sets of the first ends are made once, as many pairs have one. Of the others lines travel, which take an eighth of the room.
+        ids = settle(pairs.select(F.col("a").alias("id")).distinct())
+        sets = among(held[0], ids, "id").select(F.col("id").alias("a"), F.expr(_hashes("_line")).alias("x"))
+        pairs = pairs.join(held[0].select(F.col("id").alias("b"), "_line"), "b").join(sets.hint("merge"), "a")
+        # Behind explode the other set is made once for all of the condition, which then is generated code.
+        pairs = pairs.select("a", "b", "x", F.explode(F.array(F.expr(_hashes("_line")))).alias("y"))
+        return pairs.where(f"{100 + percent}L * size(array_intersect(x, y)) >= {percent}L * (size(x) + size(y))").select("a", "b").distinct()
 
     def prefixes(ids: DataFrame) -> DataFrame:
         """Of the rarer half of each line's shingles, counted among the lines compared, those whose hash is so low that
         about DRAWN of all remain; all of them in lines of fewer. Linked sets share 0.24 of the larger one in their rarer
         halves: so 17 of those drawn on average, and none with probability 3e-8."""
-        at = settle(among(held[0], ids, "id").select("id", F.explode(F.expr(_hashes("_line"))).alias("shingle")))
+        at = listed[0] if listed else shingles(ids)
         often = at.groupBy("shingle").agg(F.count("*").alias("n"))
-        listed = at.join(often, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
-        rarest = listed.select("id", F.size("s").alias("size"), F.explode(F.expr(f"slice(s, 1, cast(ceil({RAREST} * size(s) / 100) as int) + 1)")).alias("s"))
-        rarest = rarest.where(f"size <= {DRAWN} or (s.shingle & {2**31 - 1}L) * size < {DRAWN * 2**31}L")
+        # By a window, which sorts plain rows instead of making lists of them; one order for both columns, so that they are sorted once.
+        order = Window.partitionBy("id").orderBy("n", "shingle")
+        size = F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("size")
+        rarest = at.join(often, "shingle").select("id", "shingle", "n", size, F.row_number().over(order).alias("rank"))
+        rarest = rarest.where(f"rank <= ceil({RAREST} * size / 100) + 1 and (size <= {DRAWN} or (shingle & {2**31 - 1}L) * size < {DRAWN * 2**31}L)")
         # A shingle of one line alone is shared with none.
-        out = settle(rarest.where("s.n > 1").select("id", "s.shingle"))
+        out = settle(rarest.where("n > 1").select("id", "shingle"))
         release(at)
         return out
 

@@ -138,6 +138,29 @@ def test_long_lines_of_large_buckets_meet_by_few_shingles(spark, monkeypatch):
     assert max(map(len, by.values())) <= graph.SHORT and all(by[a] & by[b] for a, b in seen["links"])
 
 
+def test_shingles_of_lines_are_hashed_once(spark, monkeypatch):
+    """In signing the condition on hashes makes none a second time; a line's set is made once for all pairs it is the first
+    end of, and sets are intersected in generated code, not in a lambda; prefixes are ranked without lists."""
+    plan, seen = lambda df: df._jdf.queryExecution().optimizedPlan().toString(), {}
+    own = _family(5, 12, 300, [1, 2, 30])
+    assert plan(lines._nearest(spark.createDataFrame(list(enumerate(own)), "_id long, _line string"), 112)).count("xxhash64(") == 1
+
+    def link(members, verify, info, near, prefixes, *closer):
+        ids = members.select("id").distinct()
+        links = verify(ids.withColumnRenamed("id", "a").crossJoin(ids.withColumnRenamed("id", "b")).where("a < b"))
+        seen["links"], seen["plan"] = links.count(), plan(links)
+        first = []
+        monkeypatch.setattr(lines, "settle", lambda df, settle=lines.settle: first.append(plan(df)) or settle(df))
+        prefixes(ids)
+        seen["prefixes"] = "".join(first)
+        return graph.components(links.limit(0))
+
+    monkeypatch.setattr(lines, "link_buckets", link)
+    lines.dedup_lines(spark.createDataFrame(list(enumerate(own)), SCHEMA)).count()
+    assert seen["links"] == sum(_near_lines(a, b) for a, b in itertools.combinations(own, 2)) > 10
+    assert re.search(r"array_intersect\(x#\d+, y#\d+\)", seen["plan"]) and "collect_list" not in seen["prefixes"]
+
+
 def test_lines_that_cannot_link_are_not_compared_by_their_sets(spark, monkeypatch):
     rng, counts = random.Random(7), []
     head = "the same words stand here before all that comes after them in each of these lines "
