@@ -55,20 +55,21 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def crowded(members: DataFrame) -> DataFrame:
-    """key, id, copies, pivot, many for the members (key, id, copies) of the keys that two ids or more share; copies of a
-    member that comes several times are added up. pivot is the most copied member (then the smallest id), many their number.
-    members are read twice: they are to be cheap to make from a settled table.
-
-    Most keys have one member. Their rows are counted first, as a count takes less room in the shuffle than ids; keys whose
-    rows are all of one id go with the join of the groups."""
-    shared = settle(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    at = settle(among(members, shared, "key").groupBy("key", "id").agg(F.sum("copies").alias("copies")))
-    release(shared)
-    groups = settle(at.groupBy("key").agg(F.min(F.struct(-F.col("copies"), F.col("id")))["id"].alias("pivot"), F.count("*").alias("many")).where("many > 1"))
+def crowded(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the keys that two ids or more share among members (key, id, copies): (a, b) of those with two members, a < b, and
+    key, id, pivot, many of the others. copies of a member that comes several times are added up. pivot is the most copied
+    member (then the smallest id), many their number. members are read twice: they are to be cheap to make from a settled table.
+
+    Most keys have one member, and most of the others two, which the least and the greatest id of a key's rows are: only
+    members of larger keys are read again. Both tables are settled."""
+    keys = settle(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high"))
+    two = settle(keys.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct())
+    at = settle(among(members, keys.where("n > 2"), "key").groupBy("key", "id").agg(F.sum("copies").alias("copies")))
+    release(keys)
+    groups = settle(at.groupBy("key").agg(F.min(F.struct(-F.col("copies"), F.col("id")))["id"].alias("pivot"), F.count("*").alias("many")))
     out = settle(at.join(groups, "key"))
     release(at, groups)
-    return out
+    return two, out
 
 
 def merged(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -100,17 +101,17 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], i
     no link between components is lost that near lets through. verify takes pairs (a, b), a < b, and returns the links.
     closer: another info and near for the members of large buckets, where more pairs are near to the bound. own: the settled
     tables that members are read from are deleted once the buckets are known."""
-    crowd = crowded(members)
+    two, crowd = crowded(members)
     if own:
         release(members)
-    star = crowd.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-    found = settle(components(verify(star)))
+    star = crowd.where("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
+    found = settle(components(verify(two.union(star).distinct())))
     at = crowd.where("many > 2").select("key", "id", "many").join(found.withColumnRenamed("node", "id"), "id", "left")
     at = settle(at.select("key", "id", "many", F.coalesce("component", "id").alias("component")))
     parts = at.groupBy("key", "component").agg(F.count("*").alias("m"))
     mixed = settle(parts.groupBy("key").agg(F.max(F.struct("m", "component"))["component"].alias("major"), F.count("*").alias("parts")).where("parts > 1"))
     at = settle(at.join(mixed.select("key", "major"), "key").withColumn("minor", F.expr("component <> major")).drop("major"))
-    release(crowd, mixed)
+    release(two, crowd, mixed)
     if not at.limit(1).count():
         release(at)
         return found

@@ -30,7 +30,7 @@ BLANK = " \t\n\x0b\f\r"
 #: Longs of a sketch.
 LONGS = 16
 #: Shingles of a line that are drawn to find its links within a large bucket, and which percentage of its rarest counts.
-DRAWN, RAREST = 72, 50
+DRAWN, RAREST = 80, 50
 
 
 # Characters of four bytes each: a shingle is cut out without a walk through the line. Bytes where shingles begin:
@@ -44,7 +44,7 @@ def _hashes(line: str) -> str:
 
 
 def _nearest(lines: DataFrame, most: int) -> DataFrame:
-    """_id, n, and of each sector the nearest hash m0, m1, ... over the shingles at all positions of lines (_id, _line). In
+    """_id, n, copies, and of each sector the nearest hash m0, m1, ... over the shingles at all positions of lines (_id, _line). In
     lines of more than `most` shingles, only the first and those so near to their sector's start that about `most` are left."""
     at = lines.select("_id", F.encode("_line", "UTF-32").alias("u")).withColumn("n", F.expr("greatest(octet_length(u) div 4 - 11, 1)"))
     at = at.withColumn("near", F.expr(f"cast(least(({most * 2**28}L + n - 1) div n, {2**28}L) as int)"))
@@ -52,19 +52,19 @@ def _nearest(lines: DataFrame, most: int) -> DataFrame:
     once = F.expr(f"if(monotonically_increasing_id() < 0, 0, cast({SHINGLE} >> 32 as int))").alias("h")
     at = at.select("_id", "u", "n", "near", F.explode(F.expr(STARTS)).alias("i")).select("_id", "n", "near", "i", once)
     at = at.where(f"i = 1 or (h & {2**28 - 1}) < near")
-    return at.groupBy("_id").agg(F.max("n").alias("n"), *[F.expr(f"min(h ^ shiftleft({i}, 28))").alias(f"m{i}") for i in range(SECTORS)])
+    return at.groupBy("_id").agg(F.max("n").alias("n"), F.expr("count_if(i = 1)").alias("copies"), *[F.expr(f"min(h ^ shiftleft({i}, 28))").alias(f"m{i}") for i in range(SECTORS)])
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """_id and nearest hashes m0, m1, ... of every line of lines (_id, _line), a settled table. Where far hashes were left out and a sector has no
-    near one, the line is signed anew with all its hashes, so they are always those of the whole set."""
+    """_id, copies and nearest hashes m0, m1, ... of every line of lines (_id, _line), a settled table. Where far hashes were
+    left out and a sector has no near one, the line is signed anew with all its hashes, so they are always those of the whole set."""
     most = AMPLE * SECTORS
     # In its own sector, the nearest hash is so far above the least int.
     sure = " and ".join(f"(m{i} + {2**31}L) * n < {most * 2**28}L" for i in range(SECTORS))
     near = settle(_nearest(lines, most).withColumn("sure", F.expr(f"n <= {most} or ({sure})")))
     unsure = settle(near.where("not sure").select("_id"))
     again = settle(_nearest(among(lines.select("_id", "_line"), unsure, "_id"), 2**31 - 1))
-    own = ["_id", *[f"m{i}" for i in range(SECTORS)]]
+    own = ["_id", "copies", *[f"m{i}" for i in range(SECTORS)]]
     release(unsure)
     return near.where("sure").select(own).union(again.select(own))
 
@@ -80,6 +80,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text").where("text is not null")
     seen = settle(_lines(docs))
     signed = _signed(seen)
+    twice = settle(signed.where("copies > 1").select("_id"))
     keys = F.array(*[F.xxhash64(F.lit(i), *[f"m{i + j}" for j in range(TAKEN)]) for i in range(0, SECTORS, TAKEN)])
     members = signed.select("_id", F.explode(keys).alias("key")).select("key", F.col("_id").alias("id"), F.lit(1).alias("copies"))
     held: list[DataFrame] = []
@@ -97,7 +98,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return each.groupBy("id").agg(F.count("*").alias("n"), *[F.expr(f"bit_or({bit(i)})").alias(f"f{i}") for i in range(LONGS)])
 
     def shingles(ids: DataFrame) -> DataFrame:
-        return settle(among(held[0], ids, "id").select("id", F.explode(F.expr(_hashes("_line"))).alias("shingle")))
+        sets = among(held[0], ids, "id").select("id", F.expr(_hashes("_line")).alias("s")).select("id", "s", F.size("s").alias("size"))
+        return settle(sets.select("id", "size", F.explode("s").alias("shingle")))
 
     def about(ids: DataFrame) -> DataFrame:
         """Sizes of the sets, and odd sketches: where they differ in d bits, the sets differ in d elements at least."""
@@ -128,16 +130,18 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return pairs.where(f"{100 + percent}L * size(array_intersect(x, y)) >= {percent}L * (size(x) + size(y))").select("a", "b").distinct()
 
     def prefixes(ids: DataFrame) -> DataFrame:
-        """Of the rarer half of each line's shingles, counted among the lines compared, those whose hash is so low that
-        about DRAWN of all remain; all of them in lines of fewer. Linked sets share 0.24 of the larger one in their rarer
-        halves: so 17 of those drawn on average, and none with probability 3e-8."""
+        """Of each line's shingles those whose hash is so low that about DRAWN remain, all of them in lines of fewer; of
+        these the rarer half, counted among the lines compared. Linked sets share four fifths of what is drawn of either at
+        least, on average: their rarer halves have the first common one, unless more was drawn that they do not share, which
+        has a probability below 3e-8."""
         at = listed[0] if listed else shingles(ids)
-        often = at.groupBy("shingle").agg(F.count("*").alias("n"))
+        drawn = at.where(f"size <= {DRAWN} or (shingle & {2**31 - 1}L) * size < {DRAWN * 2**31}L").select("id", "shingle")
+        often = drawn.groupBy("shingle").agg(F.count("*").alias("n"))
         # By a window, which sorts plain rows instead of making lists of them; one order for both columns, so that they are sorted once.
         order = Window.partitionBy("id").orderBy("n", "shingle")
         size = F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("size")
-        rarest = at.join(often, "shingle").select("id", "shingle", "n", size, F.row_number().over(order).alias("rank"))
-        rarest = rarest.where(f"rank <= ceil({RAREST} * size / 100) + 1 and (size <= {DRAWN} or (shingle & {2**31 - 1}L) * size < {DRAWN * 2**31}L)")
+        rarest = drawn.join(often, "shingle").select("id", "shingle", "n", size, F.row_number().over(order).alias("rank"))
+        rarest = rarest.where(f"rank <= ceil({RAREST} * size / 100) + 1")
         # A shingle of one line alone is shared with none.
         out = settle(rarest.where("n > 1").select("id", "shingle"))
         release(at)
@@ -148,7 +152,6 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     release(*held)
     seen = places[0]
     # Only lines that are there twice or have links can go.
-    twice = seen.groupBy("_id", "_id2").agg(F.count("*").alias("n")).where("n > 1").select("_id")
     doubtful = settle(twice.union(found.select(F.col("node").alias("_id"))).distinct())
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_t", "_pos")
     at = settle(among(seen.select("_id", "_id2", place.alias("_place")), doubtful, "_id"))
@@ -159,7 +162,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of = lambda stays: F.collect_set(F.when(F.col("stays") == stays, F.col("_place._pos")))
     both = both.groupBy(F.col("_place.doc_id").alias("doc_id"), F.col("_place._t").alias("_t")).agg(F.array_except(of(False), of(True)).alias("gone"))
     gone = settle(both.where("size(gone) > 0"))
-    release(seen, found, doubtful, at)
+    release(seen, twice, found, doubtful, at)
     return gone
 
 

@@ -161,6 +161,16 @@ def test_shingles_of_lines_are_hashed_once(spark, monkeypatch):
     assert re.search(r"array_intersect\(x#\d+, y#\d+\)", seen["plan"]) and "collect_list" not in seen["prefixes"]
 
 
+def test_keys_of_two_members_are_not_read_again(spark):
+    """The ids of a key's rows tell its members, where it has two; copies of lines are counted while they are signed."""
+    rows = [(1, 10, 1), (1, 11, 1), (2, 11, 1), (2, 10, 1), (3, 10, 1), (3, 12, 1), (3, 13, 2), (4, 14, 1), (5, 15, 1), (5, 15, 1), (6, 16, 1), (6, 17, 1), (6, 17, 1)]
+    two, crowd = graph.crowded(spark.createDataFrame(rows, "key long, id long, copies int"))
+    assert [tuple(r) for r in two.collect()] == [(10, 11)]
+    assert sorted(tuple(r) for r in crowd.select("key", "id", "pivot", "many").collect()) == [(3, 10, 13, 3), (3, 12, 13, 3), (3, 13, 13, 3), (6, 16, 17, 2), (6, 17, 17, 2)]
+    own = [(1, "the same line of some length, twice"), (1, "the same line of some length, twice"), (2, "short")]
+    assert {r._id: r.copies for r in lines._nearest(spark.createDataFrame(own, "_id long, _line string"), 112).collect()} == {1: 2, 2: 1}
+
+
 def test_lines_that_cannot_link_are_not_compared_by_their_sets(spark, monkeypatch):
     rng, counts = random.Random(7), []
     head = "the same words stand here before all that comes after them in each of these lines "
